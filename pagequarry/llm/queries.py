@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import quality_classifier, quality_rules, toxicity
+from pagequarry.llm import bpe, mixing, quality_classifier, quality_rules, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_documents(docs, texts=False).drop("text")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), *bpe.default_vocabulary(), output="digest")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = _read(spark, sf_dir, "documents").select("doc_id", "text"), quality_classifier.held_out()
     model = quality_classifier.learn(docs, _read(spark, sf_dir, "labels"), ~out)
@@ -32,7 +45,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_quality_classifier, op8_toxicity)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op4_warc, op5_byte_bpe, op6_quality_classifier, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
