@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,12 @@ BLOOM_PAGE = 1 << 12
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory follows SLICE_BYTES and not the row count."""
+    """Small Arrow batches, so that a worker's memory follows SLICE_BYTES and not the row count. Python
+    workers also look for this package where the driver has it (a cluster may ship it by --py-files)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

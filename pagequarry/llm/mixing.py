@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import settle, text_key
+from pagequarry.llm.common import settle, text_key, tune
 
 BLOCK = 64
 CYCLE = (1, 2, 3)
@@ -171,6 +171,7 @@ def mix_documents(df: DataFrame, block: int = BLOCK, text: str = "text") -> Data
     """doc_id, source, key (text_key of the row), size, source_size, target (of its source), taken (words
     the mixture takes of the document, repeats counted)."""
     spark = df.sparkSession
+    tune(spark)
     docs = settle(df.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), text_key("doc_id", text).alias("key")), "mix-docs")
     p = plan(docs, block)
     placed = settle(layout(docs, p), "mix-layout")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, embedding_dedup, mixing, quality_classifier, quality_rules, toxicity, warc
+from pagequarry.llm import bpe, embedding_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op4_warc, op5_byte_bpe, op6_quality_classifier, op8_toxicity, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op4_warc, op5_byte_bpe, op6_quality_classifier, op8_toxicity, op9_embedding_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
