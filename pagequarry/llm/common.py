@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,17 +120,13 @@ def bloom_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
-def bloom_split(df: DataFrame, key: str, bits: np.ndarray, hit: bool) -> DataFrame:
-    """Rows of df whose key is (or surely is not) in the Bloom filter, before any shuffle."""
-    tune(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+def bloom_hit(spark: SparkSession, key: str, bits: np.ndarray) -> Column:
+    """Whether the long column key is in the Bloom filter (never false for one that is). Only the key goes to Python."""
+    tune(spark)
+    shared = spark.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column(key).fill_null(0).to_numpy(zero_copy_only=False)
-            m = bloom_has(shared.value, k)
-            out = b.filter(pa.array(m if hit else ~m))
-            if out.num_rows:
-                yield out
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(bloom_has(shared.value, keys.to_numpy()))
 
-    return df.mapInArrow(run, df.schema)
+    return hit(F.col(key))

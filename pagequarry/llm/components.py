@@ -36,9 +36,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, n: int | None = None) -> DataFrame:
+def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, n: int | None = None, together: bool = False) -> DataFrame:
     """fn of each group of equal keys, streamed from sorted partitions: a task holds one group and one
-    batch, and small groups cost no more than a slice. Callers bound the size of their groups."""
+    batch, and small groups cost no more than a slice. Callers bound the size of their groups. With
+    together, fn gets all groups that end in a batch at once."""
     df = df.repartition(n, *keys) if n else df.repartition(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +53,8 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Re
             change[0] = last is not None and any(k[0] != x for k, x in zip(ks, last))
             last = [k[-1] for k in ks]
             cuts = [*np.flatnonzero(change).tolist(), b.num_rows]
+            if together and len(cuts) > 2:
+                cuts = cuts[-2:]
             at = 0
             for c in cuts[:-1]:
                 held.append(b.slice(at, c - at))

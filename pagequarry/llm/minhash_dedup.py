@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import bloom, bloom_has, bloom_split, map_text, settle, text_key, tune
+from pagequarry.llm.common import bloom, bloom_has, bloom_hit, map_text, settle, text_key, tune
 from pagequarry.llm.components import connected_components, sorted_groups
 from pagequarry.llm.textkernel import mix64
 
@@ -250,9 +250,8 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD, text: str = "text") ->
     names = df.columns
     facts = settle(near_duplicates(df, threshold, text).where("class_size > 1").select("key", "kept"), "dart-kept")
     keyed = df.withColumn("__key", text_key("doc_id", text))
-    bits = bloom(facts.select("key"))
-    alone = bloom_split(keyed, "__key", bits, False)
-    others = bloom_split(keyed, "__key", bits, True)
+    hit = bloom_hit(df.sparkSession, "__key", bloom(facts.select("key")))
+    alone, others = keyed.where(~hit), keyed.where(hit)
     lost = facts.where("NOT kept").select(F.col("key").alias("__key")).distinct()
     twice = facts.where("kept").select(F.col("key").alias("__key")).distinct().withColumn("__one", F.lit(True))
     others = others.join(lost, "__key", "left_anti").join(twice, "__key", "left")
