@@ -32,7 +32,7 @@ CYCLE = (1, 2, 3)
 MOST = 3
 MAX_SOURCES = 1_000_000
 CHUNK = 1 << 16
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
 
