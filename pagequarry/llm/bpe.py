@@ -82,13 +82,14 @@ def stitch(codec: Codec, chunks: list[str], heads: list[np.ndarray], tails: list
     """Pieces that start and end at pre-token boundaries of the whole text.
 
     chunks overlap their successor by overlap characters; heads has the boundaries in the first
-    overlap characters of a chunk, tails those at chunk and after, less chunk."""
+    overlap characters of a chunk, tails those at chunk and after, less chunk. A piece never ends in
+    white space: how a run of it is cut depends on what follows."""
     text = "".join(c[:chunk] for c in chunks)
     cuts, tail = [0], tails[0]
     for k in range(1, len(chunks)):
-        both = np.intersect1d(tail, heads[k])
-        if len(both):
-            cuts.append(k * chunk + int(both[0]))
+        both = [int(c) + k * chunk for c in np.intersect1d(tail, heads[k]) if not text[k * chunk + c - 1].isspace()]
+        if both:
+            cuts.append(both[0])
             tail = tails[k]
         else:
             seen = text[cuts[-1] : (k + 1) * chunk + overlap]

@@ -4,7 +4,8 @@ score(x) = sigmoid(b + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct terms
 that two terms together (an insult and whom it is aimed at) can count for more than the sum of
 both. Terms are lower-cased words and their 4- and 5-byte beginnings (for inflected insults),
 hashed into 2**22 slots; of these the model keeps the ``max_terms`` slots whose presence says
-most about the label, by the G statistic over the training texts.
+most about the label, by the G statistic over the training texts; slots below ``min_gain`` (half of G)
+are left out, as chance alone makes many.
 
 Training sees at most ``max_labels`` labelled rows (smallest hash of the id) and max_terms slots,
 so what reaches the driver is bounded; scoring is one narrow pass. Null and empty texts score
@@ -100,7 +101,7 @@ def fit(slots: np.ndarray, texts: list[np.ndarray], y: np.ndarray, epochs: int =
     return FactorizationMachine(slots, bias, m.w, m.v)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_labels: int = 20_000, max_terms: int = 8192, min_texts: int = 5) -> FactorizationMachine:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_labels: int = 20_000, max_terms: int = 8192, min_texts: int = 3, min_gain: float = 6.0) -> FactorizationMachine:
     chosen = bounded_labels(labels, label, usable, max_labels)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
@@ -118,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     total = float(max(n0 + n1, 1))
     rest = F.lit(total) - F.col("n")
     g = part(a, F.col("n") * n1 / total) + part(b, F.col("n") * n0 / total) + part(F.lit(n1) - a, rest * n1 / total) + part(F.lit(n0) - b, rest * n0 / total)
-    best = seen.where(F.col("n") >= min_texts).withColumn("g", F.round(g, 6)).orderBy(F.desc("g"), "slot").limit(max_terms).select("slot")
+    best = seen.where(F.col("n") >= min_texts).withColumn("g", F.round(g, 6)).where(F.col("g") >= min_gain).orderBy(F.desc("g"), "slot").limit(max_terms).select("slot")
     slots = np.array(sorted(r["slot"] for r in best.collect()), np.int64)
     at = FactorizationMachine(slots, 0.0, np.zeros(len(slots)), np.zeros((len(slots), RANK))).index()
 

@@ -162,6 +162,8 @@ class Bad(ValueError):
 
 
 def _headers(block: bytes) -> dict[str, str]:
+    if any(c < 32 and c not in (9, 10, 13) for c in block):
+        raise Bad("control character in a header")
     out: dict[str, str] = {}
     for line in block.split(b"\r\n"):
         name, colon, value = line.partition(b":")
