@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, embedding_dedup, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
+from pagequarry.llm import bpe, embedding_dedup, line_dedup, minhash_dedup, mixing, oracles, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
