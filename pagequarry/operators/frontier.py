@@ -42,10 +42,10 @@ def enqueue_summary(seeds: DataFrame) -> DataFrame:
     """added, dupes, skipped (no URL), with_fallback."""
     s = seeds.withColumn("c", canonicalize_url("url"))
     fallback = F.coalesce(F.col("fallback"), F.lit("")) if "fallback" in seeds.columns else F.lit("")
-    first = s.where("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min_by(fallback, "pos").alias("f"))
-    known = first.agg(F.count(F.lit(1)).alias("added"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dupes"), F.count_if(F.col("f") != "").alias("with_fallback"))
-    skipped = s.agg(F.count_if(F.col("c").isNull()).alias("skipped"))
-    return known.crossJoin(skipped).select("added", "dupes", "skipped", "with_fallback")  # one row by one row
+    by_url = s.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min_by(fallback, "pos").alias("f"))
+    known = F.col("c").isNotNull()
+    total = lambda v: F.coalesce(F.sum(v), F.lit(0))
+    return by_url.agg(F.count_if(known).alias("added"), total(F.when(known, F.col("n") - 1)).alias("dupes"), total(F.when(~known, F.col("n"))).alias("skipped"), F.count_if(known & (F.col("f") != "")).alias("with_fallback"))
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -64,9 +64,9 @@ def replay(events: DataFrame) -> DataFrame:
 
 def recover(frontier: DataFrame) -> DataFrame:
     """What was in flight is queued again, behind all others, in its old order."""
-    top = frontier.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top"))
+    top = frontier.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).first()["top"]
     flight = global_rank(frontier.where("state = 'in_flight'"), "seq", "__k")
-    moved = flight.crossJoin(top).withColumn("seq", F.col("top") + 1 + F.col("__k")).withColumn("state", F.lit("queued"))
+    moved = flight.withColumn("seq", F.lit(top + 1) + F.col("__k")).withColumn("state", F.lit("queued"))
     return frontier.where("state <> 'in_flight'").unionByName(moved.select(frontier.columns))
 
 

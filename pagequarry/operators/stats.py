@@ -51,14 +51,24 @@ def wall_clock(records: DataFrame, at: str = "fetched_at") -> DataFrame:
 
 
 def snapshot(records: DataFrame) -> DataFrame:
-    """All statistics of a job in one row; the maps have a key a tier or category."""
-    tiers, cats, lat = by_tier(records), by_category(records), latency(records)
-    maps = (
-        tiers.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tier", "attempted")))).alias("tier_attempted"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("tier", "succeeded")))).alias("tier_succeeded"))
-        .crossJoin(cats.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("failures_by_category")))
-        .crossJoin(lat.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tier", F.struct("n", "avg_ms", "min_ms", "max_ms"))))).alias("latency")))
-    )  # single rows
-    return totals(records).crossJoin(escalation_rate(records)).crossJoin(maps)
+    """All statistics of a job in one row; the maps have a key a tier or category.
+
+    One pass: totals, tiers and categories are grouping sets, whose few rows then make the maps."""
+    r = records.select(F.coalesce("tier", F.lit("")).alias("tier"), category().alias("category"), "duration_ms")
+    hit = (F.col("category") == "success") & (F.col("duration_ms") > 0)
+    ms = F.when(hit, F.col("duration_ms"))
+    g = r.groupingSets([[F.col("tier")], [F.col("category")], []], F.col("tier"), F.col("category")).agg(
+        F.grouping_id().alias("set"), F.count(F.lit(1)).alias("n"), F.count_if(is_reachable("category")).alias("ok"), F.count_if(hit).alias("hits"),
+        F.count_if(hit & (F.col("tier") == "chromium")).alias("up"), F.sum(ms).alias("ms"), F.min(ms).alias("lo"), F.max(ms).alias("hi"),
+    )
+    tier, cat, whole = (F.col("set") == 1) & (F.col("tier") != ""), F.col("set") == 2, F.col("set") == 3
+    entries = lambda at, key, value: F.map_from_entries(F.sort_array(F.collect_list(F.when(at, F.struct(F.col(key).alias("key"), value.alias("value"))))))
+    one = lambda c: F.coalesce(F.max(F.when(whole, F.col(c))), F.lit(0))
+    latency_of = F.struct("hits", F.expr("ms div hits").alias("avg_ms"), F.col("lo").alias("min_ms"), F.col("hi").alias("max_ms"))
+    return g.agg(
+        one("n").alias("total"), one("ok").alias("reachable"), (one("n") - one("ok")).alias("unreachable"), F.when(one("ok") > 0, one("up") / one("ok")).otherwise(F.lit(0.0)).alias("escalation_rate"),
+        entries(tier, "tier", F.col("n")).alias("tier_attempted"), entries(tier & (F.col("hits") > 0), "tier", F.col("hits")).alias("tier_succeeded"), entries(cat, "category", F.col("n")).alias("failures_by_category"), entries(tier & (F.col("hits") > 0), "tier", latency_of).alias("latency"),
+    )
 
 
 def pdf_bench(runs: DataFrame) -> DataFrame:
