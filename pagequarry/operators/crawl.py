@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local default only where none is set."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+
+
 def _held(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: a table in the shared folder, or a persisted frame where none is set."""
+    """df cut from its lineage: a table in the shared folder."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/pagequarry-crawl-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pagequarry-crawl-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -86,3 +86,9 @@ def next_urls(frontier: DataFrame, n: int) -> DataFrame:
 def unseen(links: DataFrame, seen: DataFrame) -> DataFrame:
     """Links whose URL isn't known yet."""
     return links.join(seen.select("url").distinct(), "url", "left_anti")
+
+
+def resolve_pointers(pointers: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Queue pointers (seq, url) with their records; dangling says that there is none."""
+    f = frontier.drop("seq").withColumn("__found", F.lit(True))
+    return pointers.join(f, "url", "left").withColumn("dangling", F.col("__found").isNull()).drop("__found")

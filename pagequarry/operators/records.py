@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.functions.quality import is_html, is_json, is_reachable
+from pagequarry.functions import pdftext
+from pagequarry.functions.quality import is_html, is_json, is_pdf, is_reachable
 from pagequarry.functions.text import cell, has_path
 from pagequarry.functions.urls import canonicalize_url, content_hash
 from pagequarry.html.functions import hit_stats, page_metadata, parse_page
@@ -50,6 +51,27 @@ def build(outcomes: DataFrame, fetched_at: Column, css: Sequence[FieldSpec] = ()
     )
 
 
+def apply_pdf(outcomes: DataFrame, texts: DataFrame, ocr: bool = False) -> DataFrame:
+    """outcomes with the bodies of PDF answers replaced by their text, and pdf (struct) or a soft failure.
+
+    texts: url, plain, layout, ocr, info (the tools' output). A PDF without text keeps its body and gets the
+    category extraction_failed, or pdf_tooling_missing where no tool gave anything. The document's title is
+    the page's title."""
+    t = texts.select("url", pdftext.extract("plain", "layout", "ocr" if ocr else None).alias("__t"), pdftext.info("info").alias("__i"), (F.col("plain").isNull() & F.col("layout").isNull()).alias("__none"), F.when(~pdftext.is_stub("plain"), True).otherwise(~pdftext.is_stub("layout")).alias("__layer"))
+    j = outcomes.join(t, "url", "left")
+    pdf = F.col("valid") & is_pdf(F.coalesce("content_type", F.lit("")))
+    got = F.coalesce(pdf & (F.col("__t.category") == "success"), F.lit(False))
+    failed = pdf & ~got
+    bare = F.coalesce(F.col("__none"), F.lit(True))
+    made = F.struct(F.col("__i.page_count").alias("page_count"), F.col("__i.title").alias("title"), F.col("__i.author").alias("author"), F.col("__i.created_at").alias("created_at"), F.col("__layer").alias("has_text_layer"), F.col("__t.used_ocr").alias("used_ocr"), F.col("__t.tier").alias("extractor_tier"))
+    change = {
+        "body": F.when(got, F.col("__t.text")).otherwise(F.col("body")), "content_type": F.when(got, F.lit("text/markdown")).otherwise(F.col("content_type")),
+        "failure_category": F.when(failed & bare, F.lit("pdf_tooling_missing")).when(failed, F.lit("extraction_failed")).otherwise(F.col("failure_category")),
+        "error": F.when(failed & bare, F.lit("pdftotext not found")).when(failed, F.lit("pdf: no text")).otherwise(F.col("error")),
+    }
+    return j.select(*[change[c].alias(c) if c in change else F.col(c) for c in outcomes.columns], F.when(got, made).alias("pdf"), F.when(got & (F.col("__i.title") != ""), F.col("__i.title")).alias("title"))
+
+
 def dead_letters(records: DataFrame) -> DataFrame:
     return records.where(~is_reachable("failure_category"))
 
@@ -59,10 +81,6 @@ def jsonl(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*records.columns)).alias("line"))
 
 
-def _null_of(kind: T.DataType | None) -> T.DataType:
-    return kind or T.StringType()
-
-
 def flatten(records: DataFrame, columns: Sequence[str] | None = None, parity: bool = True) -> DataFrame:
     """Records as text cells: the given dot paths in order, or the base columns and then the extracted fields, sorted.
 

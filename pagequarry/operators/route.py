@@ -38,6 +38,27 @@ def reorder(attempts: DataFrame, preferred: DataFrame, host: Column | None = Non
     return a.join(p, "__host", "left").withColumn("ord", F.row_number().over(by_url) - 1).select(attempts.columns)
 
 
+def collapse_retries(tries: DataFrame, retries: int = 2) -> DataFrame:
+    """One attempt for each rung of tries (attempts with try_no from 0): the first that isn't worth another try,
+    else the last; tries beyond retries were never made. n_tries counts those made."""
+    from pagequarry.functions.quality import is_retryable_error, is_retryable_status
+
+    again = is_retryable_status("status_code") | is_retryable_error("error")
+    rung = W.partitionBy("url", "tier", "ord")
+    t = tries.where(F.col("try_no") <= retries).withColumn("__end", F.coalesce(F.min(F.when(~again, F.col("try_no"))).over(rung), F.max("try_no").over(rung)))
+    return t.where(F.col("try_no") == F.col("__end")).withColumn("n_tries", F.col("try_no") + 1).drop("__end", "try_no")
+
+
+def rotate_proxies(tries: DataFrame, codes: Sequence[int], retries: int = 2) -> DataFrame:
+    """One attempt for each rung of tries (sub-attempts by proxy, try_no from 0): the first whose status doesn't
+    call for another proxy, else the last within retries; rotated counts the proxies that were given up."""
+    t = tries.where(F.col("try_no") <= retries)
+    stays = ~F.col("status_code").isin(*codes) if codes else F.lit(True)
+    rung = W.partitionBy("url", "tier", "ord")
+    t = t.withColumn("__end", F.coalesce(F.min(F.when(stays, F.col("try_no"))).over(rung), F.max("try_no").over(rung)))
+    return t.where(F.col("try_no") == F.col("__end")).withColumn("rotated", F.col("try_no")).drop("__end", "try_no")
+
+
 def walk_ladder(checked: DataFrame) -> DataFrame:
     """Attempts that were made: up to the first that is valid or doesn't escalate."""
     stop = F.min(F.when(F.col("valid") | ~F.col("escalate"), F.col("ord"))).over(W.partitionBy("url"))

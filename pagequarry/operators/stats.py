@@ -71,6 +71,12 @@ def snapshot(records: DataFrame) -> DataFrame:
     )
 
 
+def cross_reference(without_ocr: DataFrame, with_ocr: DataFrame) -> DataFrame:
+    """url, outcome_no_ocr, tier_no_ocr, outcome_ocr, tier_ocr of two runs (url, outcome, tier); a URL of one run alone has nulls."""
+    a = without_ocr.select("url", F.col("outcome").alias("outcome_no_ocr"), F.col("tier").alias("tier_no_ocr"))
+    return a.join(with_ocr.select("url", F.col("outcome").alias("outcome_ocr"), F.col("tier").alias("tier_ocr")), "url", "full")
+
+
 def pdf_bench(runs: DataFrame) -> DataFrame:
     """tier_no_ocr, tier_ocr distributions and rescued of a comparison (url, outcome_no_ocr, tier_no_ocr, outcome_ocr, tier_ocr)."""
     return runs.agg(F.count_if(F.col("outcome_no_ocr") == "success").alias("success_no_ocr"), F.count_if(F.col("outcome_ocr") == "success").alias("success_ocr"), F.count_if((F.col("outcome_no_ocr") != "success") & (F.col("outcome_ocr") == "success")).alias("ocr_rescued"))

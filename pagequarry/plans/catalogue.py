@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pagequarry.operators import crawl, frontier, politeness, records, route, st
 from pagequarry.plans import inputs as I
 from pagequarry.plans import oracle as O
 from pagequarry.plans.inputs import duck, spark_input
+from pagequarry.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -350,6 +352,43 @@ def fetch_events_hourly(spark, d):
     return g.select(F.col("w.start").alias("hour"), "tier", "category", "n", "total_ms")
 
 
+# ---- streams: all of a table's files as a stream, to the end ----
+
+
+def _stream(spark, d, table, sql):
+    """sql over one table read as a stream."""
+    batch = spark.read.parquet(f"{d}/{table}.parquet")
+    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    return spark.sql(sql, **{table: rows})
+
+
+def _to_end(spark, stream, mode):
+    name = f"stream_{uuid.uuid4().hex}"
+    return jobs.run_to_end(stream, name, mode, f"{crawl.shared_folder(spark)}/{name}")
+
+
+@register(f"SELECT tier, category, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM ({_LOG}) l GROUP BY 1, 2")
+def stream_live_stats(spark, d):
+    return _to_end(spark, jobs.live_stats(_stream(spark, d, "events", I.FETCH_LOG)), "complete")
+
+
+@register(_SQL["tier_learning"])
+def stream_tier_learning(spark, d):
+    return _to_end(spark, jobs.learn_tiers(_stream(spark, d, "events", I.FETCH_LOG)), "complete").select("host", "tier")
+
+
+@register(f"SELECT DISTINCT {_C} AS canonical_url FROM pages WHERE {_C} IS NOT NULL")
+def stream_dedup_queue(spark, d):
+    return _to_end(spark, jobs.dedup_queue(_stream(spark, d, "pages", "SELECT page_id, url FROM {pages}")), "append").select("canonical_url")
+
+
+@register(_SQL["frontier_states"])
+def stream_state_machine(spark, d):
+    out = _to_end(spark, jobs.state_machine(_stream(spark, d, "events", I.OPS)), "update")
+    last = out.groupBy("url").agg(F.max_by(F.struct("state", "attempts", "last_tier", "last_error"), "version").alias("r"))
+    return last.select("url", "r.*")
+
+
 # ---- politeness ----
 
 
@@ -609,3 +648,50 @@ _BENCH = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'extraction_failed' ELSE
 @register(f"SELECT count(*) FILTER (outcome_no_ocr = 'success') AS success_no_ocr, count(*) FILTER (outcome_ocr = 'success') AS success_ocr, count(*) FILTER (outcome_no_ocr <> 'success' AND outcome_ocr = 'success') AS ocr_rescued FROM ({duck(_BENCH)}) b")
 def pdf_bench(spark, d):
     return stats.pdf_bench(spark_input(spark, d, _BENCH))
+
+
+_RUNS = "SELECT doc_id, concat('d', doc_id) AS url, CASE WHEN doc_id % 5 = {m} THEN 'extraction_failed' ELSE 'success' END AS outcome, CASE WHEN doc_id % 3 = 0 THEN 'tesseract' ELSE 'pdftotext' END AS tier FROM {{documents}} WHERE doc_id % 7 <> {m}"
+_RUN_A, _RUN_B = _RUNS.format(m=0).replace("{{", "{").replace("}}", "}"), _RUNS.format(m=1).replace("{{", "{").replace("}}", "}")
+
+
+@register(f"SELECT url, a.outcome AS outcome_no_ocr, a.tier AS tier_no_ocr, b.outcome AS outcome_ocr, b.tier AS tier_ocr FROM ({duck(_RUN_A)}) a FULL JOIN ({duck(_RUN_B)}) b USING (url)")
+def pdf_cross_reference(spark, d):
+    return stats.cross_reference(spark_input(spark, d, _RUN_A), spark_input(spark, d, _RUN_B))
+
+
+_TRIES = """SELECT concat('p', page_id) AS url, 'http' AS tier, 0 AS ord, CAST(i AS INTEGER) AS try_no, CASE (page_id + i) % 6 WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN 500 WHEN 4 THEN 429 ELSE 0 END AS status_code,
+  CASE WHEN (page_id + i) % 6 = 5 THEN 'read tcp: connection reset by peer' END AS error FROM {pages}, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n"""
+_AGAIN = "status_code IN (429, 502, 503, 504) OR coalesce(error, '') <> ''"
+
+
+@register(f"""SELECT url, status_code, try_no + 1 AS n_tries FROM (SELECT *, coalesce(min(CASE WHEN NOT ({_AGAIN}) THEN try_no END) OVER w, max(try_no) OVER w) AS stop FROM ({duck(_TRIES)}) t WHERE try_no <= 2 WINDOW w AS (PARTITION BY url)) q WHERE try_no = stop""")
+def retry_loop(spark, d):
+    return route.collapse_retries(spark_input(spark, d, _TRIES)).select("url", "status_code", "n_tries")
+
+
+@register(f"""SELECT url, status_code, try_no AS rotated FROM (SELECT *, coalesce(min(CASE WHEN status_code NOT IN (429, 404) THEN try_no END) OVER w, max(try_no) OVER w) AS stop FROM ({duck(_TRIES)}) t WHERE try_no <= 1 WINDOW w AS (PARTITION BY url)) q WHERE try_no = stop""")
+def proxy_rotation(spark, d):
+    return route.rotate_proxies(spark_input(spark, d, _TRIES), [429, 404], 1).select("url", "status_code", "rotated")
+
+
+@register(f"SELECT page_id AS seq, concat('https://p', page_id * 2, '.example.org/') AS url, f.state, f.state IS NULL AS dangling FROM pages LEFT JOIN ({duck(I.FRONTIER)}) f ON f.url = concat('https://p', page_id * 2, '.example.org/')")
+def queue_pointers(spark, d):
+    p = _pages(spark, d).select(F.col("page_id").alias("seq"), F.concat(F.lit("https://p"), F.col("page_id") * 2, F.lit(".example.org/")).alias("url"))
+    return frontier.resolve_pointers(p, spark_input(spark, d, I.FRONTIER)).select("seq", "url", "state", "dangling")
+
+
+@register(f"""SELECT url, CASE WHEN tier <> '' THEN 'text/markdown' ELSE 'application/pdf' END AS content_type, CASE WHEN tier <> '' THEN 'success' WHEN doc_id % 35 = 0 THEN 'pdf_tooling_missing' ELSE 'extraction_failed' END AS failure_category, tier AS extractor_tier, CASE WHEN tier <> '' THEN concat('Title ', doc_id) END AS title
+FROM (SELECT doc_id, concat('d', doc_id) AS url, CASE WHEN doc_id % 35 = 0 THEN '' WHEN NOT {_STUB("plain")} THEN 'pdftotext' WHEN NOT {_STUB("layout")} THEN 'pdftotext-layout' ELSE '' END AS tier FROM ({_PDF}) p) q""")
+def pdf_records(spark, d):
+    t = spark_input(spark, d, I.PDF_TEXTS)
+    gone = F.col("doc_id") % 35 == 0
+    texts = t.select(F.concat(F.lit("d"), "doc_id").alias("url"), *[F.when(~gone, F.col(c)).alias(c) for c in ("plain", "layout", "ocr")], F.concat(F.lit("Title: Title "), "doc_id", F.lit("\nPages: 3\n")).alias("info"))
+    outs = t.select(F.concat(F.lit("d"), "doc_id").alias("url"), F.lit(True).alias("valid"), F.lit("application/pdf").alias("content_type"), F.lit("%PDF-").alias("body"), F.lit(None).cast("string").alias("error"), F.lit("success").alias("failure_category"))
+    r = records.apply_pdf(outs, texts)
+    return r.select("url", "content_type", "failure_category", F.coalesce("pdf.extractor_tier", F.lit("")).alias("extractor_tier"), "title")
+
+
+@register(f"SELECT page_id, tier, missed IS NULL AS complete FROM (SELECT page_id, tier, CASE WHEN NOT contains(body, '<h1>') THEN 'h1' WHEN NOT contains(body, '<nav>') THEN 'nav' END AS missed FROM ({_A}) a) m")
+def required_selectors(spark, d):
+    a = spark_input(spark, d, I.ATTEMPTS)
+    return a.select("page_id", "tier", parse_page("body", "url", required=["h1", "nav"])["missed"].isNull().alias("complete"))
