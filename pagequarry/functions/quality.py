@@ -74,10 +74,11 @@ def http_reason(status: Column) -> Column:
     return F.when(status == 0, "no response").otherwise(F.concat(F.lit("http "), status.cast("string")))
 
 
-def validity(status: Column | str, content_type: Column | str, body: Column | str, checker: Checker = Checker(), shell: Column | None = None, missed: Column | None = None) -> Column:
+def validity(status: Column | str, content_type: Column | str, body: Column | str, checker: Checker = Checker(), shell: Column | None = None, missed: Column | None = None, block: Column | None = None) -> Column:
     """struct(valid, reason, escalate, vendor, marker): status, type, size, wall, shell, then required selectors.
 
-    shell and missed (the first required selector that matches nothing) may come from a parsed document."""
+    shell and missed (the first required selector that matches nothing) may come from a parsed document; block
+    may be a column that holds soft_block's result, so that markers are looked for once."""
     st, ct, b = col(status), col(content_type), F.coalesce(col(body), F.lit(""))
     low = F.lower(F.coalesce(ct, F.lit("")))
 
@@ -95,7 +96,7 @@ def validity(status: Column | str, content_type: Column | str, body: Column | st
     out = out.when(~is_html(low), result(False, F.concat(F.lit("unsupported content-type: "), ct), False))
     out = out.when(F.octet_length(b) < checker.min_bytes, result(False, "body below threshold", True))
     if checker.detect_soft_blocks:
-        block = soft_block(b, checker.soft_block_bytes)
+        block = soft_block(b, checker.soft_block_bytes) if block is None else block
         out = out.when(block.isNotNull(), result(False, F.concat(F.lit("soft block: "), block["vendor"], F.lit("/"), block["marker"]), True, block))
     if checker.detect_shells:
         out = out.when(spa_shell(b) if shell is None else shell, result(False, "spa shell detected", True))

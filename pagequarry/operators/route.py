@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.functions.quality import Checker, classify_failure, rotate_proxy, validity
+from pagequarry.functions.quality import Checker, classify_failure, rotate_proxy, soft_block, validity
 from pagequarry.functions.urls import host_of
 
 
 def check_attempts(attempts: DataFrame, checker: Checker = Checker(), shell: Column | None = None, missed: Column | None = None, rotate_codes: Sequence[int] = ()) -> DataFrame:
     """attempts with valid, reason, escalate, vendor, marker. An error is neither valid nor a stop; a status that
     rotates proxies always escalates."""
-    v = F.when(F.coalesce(F.col("error"), F.lit("")) == "", validity("status_code", "content_type", "body", checker, shell, missed))
-    out = attempts.withColumn("__v", v)
+    held = attempts.withColumn("__b", F.when(F.col("status_code").between(200, 299) & (F.octet_length("body") >= checker.min_bytes), soft_block("body", checker.soft_block_bytes)))
+    v = F.when(F.coalesce(F.col("error"), F.lit("")) == "", validity("status_code", "content_type", "body", checker, shell, missed, F.col("__b")))
+    out = held.withColumn("__v", v)
     rotates = rotate_proxy(F.col("status_code"), F.array(*[F.lit(c) for c in rotate_codes])) if rotate_codes else F.lit(False)
     failed = F.col("__v").isNull()
     return out.select(
