@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from pagequarry.llm.textkernel import mix64
 
 #: Rows of one Arrow batch; with long texts this bounds what a Python worker holds.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Bytes of text that one call of a kernel sees (one longer text is a call of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 BLOOM_BITS = 1 << 26
 BLOOM_PAGE = 1 << 12
 
@@ -48,6 +49,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the system, as its Python worker stays for the next one."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def row_slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about SLICE_BYTES of text each."""
     n = batch.num_rows
@@ -72,6 +83,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.T
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -101,6 +113,8 @@ def bloom(keys: DataFrame) -> np.ndarray:
         hit = np.flatnonzero(pages.any(axis=1))
         if len(hit):
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array([pages[i].tobytes() for i in hit], pa.binary())], ["page", "bits"])
+        del bits, pages
+        release_memory()
 
     def union(group: pa.Table) -> pa.Table:
         bits = np.zeros(BLOOM_PAGE, np.uint8)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import settle
+from pagequarry.llm.common import release_memory, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -67,6 +67,8 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Re
             out = fn(pa.Table.from_batches(held))
             if out is not None and out.num_rows:
                 yield out
+        held = []
+        release_memory()
 
     return df.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
