@@ -22,19 +22,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned on the labelled ones outside the held-out fold, accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.learn(docs, labels, ~quality_classifier.held_out())
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in docs.columns], F.col("text"))
-    return quality_classifier.score_documents(rows, model).where("predicted = 1").select(*[F.col(f"`__{c}`").alias(c) for c in docs.columns])
+    clash = {c: f"__{c}" for c in ("score", "predicted") if c in docs.columns}
+    scored = quality_classifier.score_documents(docs.withColumnsRenamed(clash), model).where("predicted = 1").drop("score", "predicted")
+    return scored.withColumnsRenamed({v: k for k, v in clash.items()}).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated line runs; one that is left without a word was all copies and goes."""
     names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(c) for c in names if c not in ("n_lines", "n_removed_lines")], *[F.col(c).alias(f"__{c}") for c in ("n_lines", "n_removed_lines") if c in names])
-    cut = line_dedup.dedup_lines(rows)
+    clash = {c: f"__{c}" for c in ("n_lines", "n_removed_lines") if c in names}
+    cut = line_dedup.dedup_lines(docs.withColumnsRenamed(clash))
     cut = cut.where((F.col("n_removed_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines")))
-    for c in ("n_lines", "n_removed_lines"):
-        cut = cut.drop(c).withColumnRenamed(f"__{c}", c)
-    return _with_length(cut, names)
+    return _with_length(cut.drop("n_lines", "n_removed_lines").withColumnsRenamed({v: k for k, v in clash.items()}), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
