@@ -184,7 +184,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, text: str = "te
         return pa.RecordBatch.from_arrays([part.column("key"), pa.array([_pack(h[a:b], c[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())], ["key", "elements"])
 
     found = map_text(docs, elements, "key long, elements binary")
-    sets = settle(wanted.select("cls", "key").join(found, "key").groupBy("cls").agg(F.any_value("elements").alias("elements")), "dart-sets")
+    # a text that occurs in several rows of one id is there several times, which only repeats a comparison
+    sets = settle(wanted.select("cls", "key").join(found, "key").select("cls", "elements"), "dart-sets")
 
     def compare(batches):
         for b in batches:
@@ -195,9 +196,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, text: str = "te
     right = sets.select("cls", F.col("elements").alias("y"))
     checked = pairs.join(left, "center").join(right, "cls").select(F.col("cls").alias("a"), F.col("center").alias("b"), "x", "y").mapInArrow(compare, "a binary, b binary")
     first = settle(connected_components(checked), "dart-first")
-    # buckets that hold several components still: compare across these
+    # buckets that hold several components still: compare across these (of two members, the star has compared all)
     rooted = met.select("cls", "band", "bucket").join(first, F.col("cls") == F.col("node"), "left").select("cls", "band", "bucket", F.coalesce("root", "cls").alias("root"))
-    open_ = rooted.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    open_ = rooted.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2")
     open_ = open_.select("band", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     across = rooted.join(open_, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     across = across.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "root").join(right, "cls")
