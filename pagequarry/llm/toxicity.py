@@ -3,12 +3,15 @@
 score(x) = sigmoid(b + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct terms of a text, so
 that two terms together (an insult and whom it is aimed at) can count for more than the sum of
 both. Terms are lower-cased words and their 4- and 5-byte beginnings (for inflected insults),
-hashed into 2**22 slots; of these the model keeps the ``max_terms`` slots whose presence says
-most about the label, by the G statistic over the training texts; slots below ``min_gain`` (half of G)
-are left out, as chance alone makes many.
-
-Training sees at most ``max_labels`` labelled rows (smallest hash of the id) and max_terms slots,
-so what reaches the driver is bounded; scoring is one narrow pass. Null and empty texts score
+hashed into 2**22 slots. A slot comes into the model by itself, as one of the ``max_terms`` whose presence
+says most about the label (half of the G statistic over the training texts, at least ``min_gain``, as chance
+alone makes many), or by a pair: a first model gives each training text its chance to be toxic, and pairs
+of slots whose texts deviate from that bring in both, however neutral each is alone. All pairs
+of the slots in ``min_texts`` texts are tested, so their gain has to be larger by the log of their number.
+Slots whose texts all together can't reach it are left out first, by a bound that loses no pair.
+
+Training sees at most ``max_labels`` labelled rows (smallest hash of the id), max_terms slots and the slots
+of max_terms pairs, so what the model holds is bounded; scoring is one narrow pass. Null and empty texts score
 sigmoid(b). Without labels of both classes every score is the share of toxic labels."""
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import map_text
+from pagequarry.llm.common import map_text, settle
 from pagequarry.llm.quality_classifier import bounded_labels
 
 SLOT_BITS = 22
 PREFIXES = (4, 5)
 RANK = 8
+#: Slots whose pairs are counted at once.
+PAIR_BLOCK = 1024
 
 
 def term_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +106,37 @@ def fit(slots: np.ndarray, texts: list[np.ndarray], y: np.ndarray, epochs: int =
     return FactorizationMachine(slots, bias, m.w, m.v)
 
 
+def pair_gains(slots: np.ndarray, texts: list[np.ndarray], y: np.ndarray, p: np.ndarray, least: float, most: int) -> np.ndarray:
+    """The slots of the pairs that gain least or more; if there are over most of these, of the best.
+
+    The gain is half of G: of a pair's texts, how many are toxic against the sum of their chances p."""
+    docs, ids = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate([*texts, np.zeros(0, np.int32)])
+
+    def block(k: int) -> np.ndarray:
+        on = (ids >= k) & (ids < k + PAIR_BLOCK)
+        x = np.zeros((len(texts), min(PAIR_BLOCK, len(slots) - k)), np.float32)
+        x[docs[on], ids[on] - k] = 1
+        return x
+
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-9)), 0)
+    gains, left, right = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(slots), PAIR_BLOCK):
+        one = block(i)
+        weighted = [one.T, (one * y[:, None].astype(np.float32)).T, (one * p[:, None].astype(np.float32)).T]
+        for j in range(i, len(slots), PAIR_BLOCK):
+            two = one if i == j else block(j)
+            n, a, e = (w @ two for w in weighted)
+            gain = part(a, e) + part(n - a, n - e)
+            r, c = np.nonzero(gain >= least)
+            off = r + i < c + j
+            r, c = r[off], c[off]
+            gains, left, right = np.append(gains, gain[r, c]), np.append(left, r + i), np.append(right, c + j)
+            if len(gains) > most:
+                top = np.lexsort((right, left, -gains.round(3)))[:most]
+                gains, left, right = gains[top], left[top], right[top]
+    return slots[np.union1d(left, right)]
+
+
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_labels: int = 20_000, max_terms: int = 8192, min_texts: int = 3, min_gain: float = 6.0) -> FactorizationMachine:
     chosen = bounded_labels(labels, label, usable, max_labels)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
@@ -119,20 +155,60 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     total = float(max(n0 + n1, 1))
     rest = F.lit(total) - F.col("n")
     g = part(a, F.col("n") * n1 / total) + part(b, F.col("n") * n0 / total) + part(F.lit(n1) - a, rest * n1 / total) + part(F.lit(n0) - b, rest * n0 / total)
-    best = seen.where(F.col("n") >= min_texts).withColumn("g", F.round(g, 6)).where(F.col("g") >= min_gain).orderBy(F.desc("g"), "slot").limit(max_terms).select("slot")
+    seen = settle(seen.where(F.col("n") >= min_texts).select("slot", F.round(g, 6).alias("g")), "toxic-slots")
+    best = seen.where(F.col("g") >= min_gain).orderBy(F.desc("g"), "slot").limit(max_terms).select("slot")
     slots = np.array(sorted(r["slot"] for r in best.collect()), np.int64)
-    at = FactorizationMachine(slots, 0.0, np.zeros(len(slots)), np.zeros((len(slots), RANK))).index()
 
-    def ids_of(part: pa.RecordBatch) -> pa.RecordBatch:
-        d, s = term_slots(*K.joined(part.column("text")))
+    def rows_of(slots: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The places in slots of each text's terms, and the labels."""
+        at = FactorizationMachine(slots, 0.0, np.zeros(len(slots)), np.zeros((len(slots), RANK))).index()
+
+        def ids_of(part: pa.RecordBatch) -> pa.RecordBatch:
+            d, s = term_slots(*K.joined(part.column("text")))
+            i = at[s]
+            d, i = present(d[i >= 0], i[i >= 0].astype(np.int64), max(len(slots), 1))
+            cut = np.searchsorted(d, np.arange(part.num_rows + 1))
+            return pa.RecordBatch.from_arrays([part.column("y"), pa.array([i[x:z].astype(np.int32).tobytes() for x, z in zip(cut, cut[1:])], pa.binary())], ["y", "ids"])
+
+        rows = map_text(train, ids_of, "y int, ids binary").collect()
+        rows.sort(key=lambda r: (r["ids"], r["y"]))  # the order of tasks must not matter
+        return [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([r["y"] for r in rows], float)
+
+    model = fit(slots, *rows_of(slots))
+    n_slots = seen.count()
+    if not n1 or not n0 or n_slots < 2:
+        return model
+    least = min_gain + float(np.log(n_slots * (n_slots - 1) / 2))
+
+    def chances(m: FactorizationMachine, at: np.ndarray, d: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
         i = at[s]
-        d, i = present(d[i >= 0], i[i >= 0].astype(np.int64), max(len(slots), 1))
-        cut = np.searchsorted(d, np.arange(part.num_rows + 1))
-        return pa.RecordBatch.from_arrays([part.column("y"), pa.array([i[x:z].astype(np.int32).tobytes() for x, z in zip(cut, cut[1:])], pa.binary())], ["y", "ids"])
+        return np.clip(sigmoid(m.margins(d[i >= 0], i[i >= 0].astype(np.int64), n)), 1e-4, 1 - 1e-4)
 
-    rows = map_text(train, ids_of, "y int, ids binary").collect()
-    rows.sort(key=lambda r: (r["ids"], r["y"]))  # the order of tasks must not matter
-    return fit(slots, [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([r["y"] for r in rows], float))
+    def reach_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        d, s = present(*term_slots(*K.joined(part.column("text"))), 1 << SLOT_BITS)
+        y = part.column("y").to_numpy(zero_copy_only=False)
+        p = chances(model, model.index(), d, s, part.num_rows)
+        up, down = np.where(y == 1, -np.log(p), 0.0), np.where(y == 0, -np.log(1 - p), 0.0)
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(up[d]), pa.array(down[d])], ["slot", "up", "down"])
+
+    # sums over a slot's texts bound the gain of each of its pairs, by the log sum inequality
+    reach = map_text(train, reach_of, "slot long, up double, down double").groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+    able = reach.where((F.col("n") >= min_texts) & (F.greatest("up", "down") >= least - 1e-6)).select("slot")
+    able = np.array(sorted(r["slot"] for r in able.collect()), np.int64)
+    both = np.union1d(slots, able)
+    texts, y = rows_of(both)
+    d = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = model.index()
+    p = chances(model, at, d, both[np.concatenate(texts)], len(texts))
+    mine = np.full(len(both), -1, np.int32)
+    mine[np.searchsorted(both, able)] = np.arange(len(able))
+    paired = pair_gains(able, [i[i >= 0] for i in (mine[t] for t in texts)], y, p, least, max_terms)
+    final = np.union1d(slots, paired)
+    if len(final) == len(slots):
+        return model
+    place = np.full(len(both), -1, np.int32)
+    place[np.searchsorted(both, final)] = np.arange(len(final))
+    return fit(final, [i[i >= 0] for i in (place[t] for t in texts)], y)
 
 
 def score_documents(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.3) -> DataFrame:

@@ -134,6 +134,23 @@ def test_factorization_machine_learns_a_pair():
     assert (p == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("flip", [0, 1])
+def test_toxicity_learns_a_pair_of_neutral_words(spark, flip):
+    """Neither word says anything about the label alone; learn() has to find the two among others."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        text = [f"noise{rng.randrange(300):03d}" for _ in range(20)] + ["zebrafolk"] * one + ["quince"] * two
+        rows.append((i, " ".join(rng.sample(text, len(text))), int(one == two) ^ flip))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") < 2000)
+    out = toxicity.score_documents(df.where("doc_id >= 2000"), model, 0.5).collect()
+    assert np.mean([r.predicted == r.toxic for r in out]) > 0.95
+
+
 # ---- mixing ----
 
 
