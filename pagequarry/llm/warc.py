@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads of at least so many bytes are revisited.
 MIN_REVISIT = 0
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 #: A fixed date keeps archives of the same rows equal.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -144,15 +146,15 @@ class _Stream:
     def size(self) -> int:
         return self.base + len(self.buf)
 
-    def find(self, what: bytes, pos: int) -> int:
-        """First place of what at or after pos, or -1."""
+    def find_start(self, pos: int) -> int:
+        """First place at or after pos where a member or a version line may start, or -1; no byte after it is given up."""
         while True:
-            at = self.buf.find(what, pos - self.base)
-            if at >= 0:
-                return self.base + at
+            at = _START.search(self.buf, pos - self.base)
+            if at:
+                return self.base + at.start()
             if self.end:
                 return -1
-            pos = max(pos, self.size() - len(what) + 1)
+            pos = max(pos, self.size() - 6)  # a start is 7 bytes at most
             self.drop(pos)
             self.fill(self.size() + READ_BYTES)
 
@@ -252,7 +254,6 @@ def salvage(f) -> Iterator[tuple[str, int, int, object]]:
         return
     s.fill(3)
     pos, gap, why = 0, None, ""
-    zipped = None
     while s.fill(pos + 1):
         s.fill(pos + 8)
         start = bytes(s.buf[pos - s.base : pos - s.base + 7])
@@ -264,13 +265,10 @@ def salvage(f) -> Iterator[tuple[str, int, int, object]]:
         except Bad as e:
             if gap is None:
                 gap, why = pos, str(e)
-            found = [x for x in (s.find(b"\x1f\x8b\x08", pos + 1) if zipped is not False else -1, s.find(b"WARC/1.", pos + 1) if zipped is not True else -1) if x >= 0]
-            if not found:
-                pos = s.size()
+            pos = s.find_start(pos + 1)
+            if pos < 0:
                 break
-            pos = min(found)
             continue
-        zipped = kind is _member_at
         if gap is not None:
             yield "gap", gap, pos, why
             gap = None

@@ -260,6 +260,25 @@ def test_salvage_finds_what_damage_left(compress):
     assert list(warc.salvage(io.BytesIO(b""))) == [] and [x[0] for x in warc.salvage(io.BytesIO(b"no archive"))] == ["gap"]
 
 
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("other", [b"", b"\x1f\x8b\x08", b"WARC/1."])
+def test_salvage_of_a_large_archive_with_a_damaged_first_record(compress, other):
+    rng = random.Random(6)
+    recs = []
+    for i in range(40):
+        payload = rng.randbytes(150_000).hex().encode()
+        recs.append(warc.render(i, "https://e.org/", payload, warc.digest32(payload)))
+    parts = [warc.member(r) if compress else r for r in recs]
+    data = bytearray(b"".join(parts))
+    data[0:4] = b"junk"
+    data[100 : 100 + len(other)] = other  # a start that isn't one, of either kind
+    assert len(data) > 5 << 20
+    out = list(warc.salvage(io.BytesIO(bytes(data))))
+    assert [x[:3] for x in out if x[0] == "gap"] == [("gap", 0, len(parts[0]))]
+    assert [warc.page_of(x[3]["id"]) for x in out if x[0] == "record"] == list(range(1, 40))
+    assert [x[1] for x in out][1:] == [x[2] for x in out][:-1] and out[-1][2] == len(data)
+
+
 # ---- BPE ----
 
 
