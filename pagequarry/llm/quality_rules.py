@@ -77,8 +77,8 @@ def measure(data: np.ndarray, offs: np.ndarray, rules: LineRules) -> tuple[dict[
     stutter = np.zeros(len(ws), bool)
     stutter[1:] = (wh[1:] == wh[:-1]) & (line_of[1:] == line_of[:-1])
     last = le - 1
-    for _ in range(4):  # step back over trailing white space
-        last = np.where((last >= ls) & space[np.maximum(last, 0)], last - 1, last) if len(data) else last
+    if len(ws):  # a line's last byte that isn't white space ends its last word
+        last = np.where(has_word, we[np.maximum(np.searchsorted(ws, le) - 1, 0)] - 1, last)
     ends_well = np.zeros(m, bool)
     if len(data):
         ends_well = _STOPS[data[np.maximum(last, 0)]]

@@ -65,6 +65,15 @@ def test_line_rules(spark):
     assert rows[texts[-1]].kept and rows[texts[-1]].clean_text == good
 
 
+@pytest.mark.parametrize("pad", ["", " " * 4, " " * 5, "\t" * 9, " \r" * 40, " " * 3000])
+def test_padded_lines_end_as_sentences(spark, pad):
+    rng = random.Random(8)
+    lines = ["In" + "".join(f" {rng.choice('abcdefgh')}word{rng.randrange(999)}" for _ in range(12)) + end for end in (".", "?", "。", "”", ".")]
+    text = "\n".join(x + pad for x in [*lines, "no full stop here"])
+    rows = [r for r in quality_rules.clean_documents(documents(spark, [text, "", pad])).collect() if r.text == text]
+    assert rows and all(r.kept and r.n_lost_words == 4 and r.clean_text == "\n".join(x + pad for x in lines) for r in rows)
+
+
 def test_quality_rules_on_labels(spark):
     if not Path(DATA).exists():
         pytest.skip("no test tables")
