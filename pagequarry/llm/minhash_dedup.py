@@ -136,12 +136,19 @@ def similarity(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndarray) -
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(b, np.uint64)
-    return a >> np.uint64(16), (a & np.uint64(0xFFFF)).astype(np.int64)
+    h, c = a >> np.uint64(16), (a & np.uint64(0xFFFF)).astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    return (h, c) if new.all() else (h[new], np.add.reduceat(c, np.flatnonzero(new)))
 
 
 def _pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """48 bits of each hash and its count (up to 65535); sorted by hash."""
-    return ((h & ~np.uint64(0xFFFF)) | np.minimum(c, 0xFFFF).astype(np.uint64)).tobytes()
+    """48 bits of each hash and its count, sorted by hash; a count over 65535 takes several entries."""
+    entries = (c - 1) // 0xFFFF + 1
+    out = (h & ~np.uint64(0xFFFF)).repeat(entries) | np.uint64(0xFFFF)
+    last = np.cumsum(entries) - 1
+    out[last] = (h & ~np.uint64(0xFFFF)) | (c - (entries - 1) * 0xFFFF).astype(np.uint64)
+    return out.tobytes()
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -185,6 +185,16 @@ def test_minhash_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 900, 901, 902, 903]
 
 
+def test_minhash_counts_beyond_16_bits(spark):
+    """Of 100,000 and 70,000 times one shingle 0.70 is shared, of 200,000 shared ones and 10,000 own ones each 0.91."""
+    own = [" ".join(f"{x}{i}" for i in range(10_000)) for x in "pq"]
+    rows = [(0, "a " * 100_004, 1), (1, "a " * 70_004, 1), (2, "b " * 200_004 + own[0], 1), (3, "b " * 200_004 + own[1], 1)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+    h, c = np.array([1, 2, 3, 4, 5], np.uint64) << np.uint64(16), np.array([1, 65_535, 65_536, 131_070, 1_000_000])
+    assert [x.tolist() for x in minhash_dedup._unpack(minhash_dedup._pack(h, c))] == [[1, 2, 3, 4, 5], c.tolist()]
+
+
 def test_minhash_of_an_empty_table(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
