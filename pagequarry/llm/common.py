@@ -36,8 +36,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a local master has one of its own (tests);
+    on a cluster that would be a folder on each machine, so there it is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (conf or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -46,7 +49,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagequarry-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables. Only for those from which no unsettled table is still to be made: a lost executor's
+    work is done again from what is settled."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -93,6 +107,22 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00null")), F.coalesce(F.col(text), F.lit("\x00null")))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns of these names, whatever the case (as Spark reads them)."""
+    gone = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in gone])
+
+
 def _bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix64(keys.astype(np.int64).view(np.uint64))
     return (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64), (h >> np.uint64(38)).astype(np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import release_memory, settle
+from pagequarry.llm.common import discard, release_memory, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (each a grouped minimum, which combines before the shuffle, and
     an equi-join) until the edges stay as they are; their number falls with the logarithm of the
-    longest path. Each round is written to the shared folder, so lineage stays short."""
+    longest path. Each round is written to the shared folder, so lineage stays short, and the round
+    before it is deleted."""
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
@@ -26,8 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("a", "b", "m")
-        nxt = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = settle(nxt, "edges")
+        nxt = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, e = e, settle(nxt.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (r["n"], r["x"]) == mark:
             break

@@ -54,9 +54,10 @@ def measure(data: np.ndarray, offs: np.ndarray, rules: LineRules) -> tuple[dict[
     n = len(offs) - 1
     space = K.SPACE[data]
     ws, we, wd = K.words(data, offs)
-    wh = K.Rolling(data).ranges(ws, we)
+    roll = K.Rolling(data)
+    wh = roll.ranges(ws, we)
     ls, le, ld = K.lines(data, offs)
-    line_hash = K.Rolling(data).ranges(ls, le)
+    line_hash = roll.ranges(ls, le)
     n_words = np.bincount(wd, minlength=n)
     m = len(ls)
     line_of = np.searchsorted(ls, ws, side="right") - 1

@@ -8,8 +8,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_P = 0x9E3779B97F4A7C55
-_P_INV = pow(_P, -1, 1 << 64)
+_GOLDEN = 0x9E3779B97F4A7C15
+#: Hashes are polynomials modulo the prime 2**31 - 1 in two bases each, drawn once and kept.
+_M = (1 << 31) - 1
+_BASES = (0x2E7F3A15, 0x51C96D0B, 0x1B873593, 0x6C62272E)
 
 
 def table(chars: bytes) -> np.ndarray:
@@ -44,38 +46,64 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo _M; x is used up."""
+    m, shift = np.uint64(_M), np.uint64(31)
+    for _ in range(2):
+        high = x >> shift
+        x &= m
+        x += high
+    np.subtract(x, m, out=x, where=x >= m)
+    return x
+
+
 class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    held: dict[int, np.ndarray] = {}
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _P), ("down", _P_INV)):
-                a = np.full(size, base, np.uint64)
-                a[0] = 1
-                setattr(cls, name, np.multiply.accumulate(a))
-        return cls.up[:n], cls.down[:n]
+    def get(cls, base: int, n: int) -> np.ndarray:
+        """The first n powers of base."""
+        a = cls.held.get(base, np.ones(1, np.uint32))
+        while len(a) < n:
+            a = np.concatenate([a, _mod(a.astype(np.uint64) * np.uint64(pow(base, len(a), _M))).astype(np.uint32)])
+        cls.held[base] = a
+        return a[:n]
 
 
 class Rolling:
-    """Hash of any range of a sequence in constant time (polynomial modulo 2**64)."""
-
-    def __init__(self, values: np.ndarray):
-        up, self.down = _Powers.get(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
+    """Hash of any range of a sequence in constant time.
+
+    Two polynomials modulo a prime in fixed bases, 62 bits together: two given sequences of n values have equal
+    hashes for (n / 2**31)**2 of all bases at most, whatever pattern they have. Another seed (0 or 1) has other bases."""
+
+    def __init__(self, values: np.ndarray, seed: int = 0):
+        n = len(values)
+        self.sums, self.down = [], []
+        for k, base in enumerate(_BASES[2 * seed : 2 * seed + 2]):
+            if values.dtype == np.uint8:
+                v = values.astype(np.uint64) + np.uint64(1)
+            else:
+                v = values >> np.uint64(33) if k else values & np.uint64(_M)
+            v *= _Powers.get(base, n)
+            high = v >> np.uint64(31)
+            v &= np.uint64(_M)
+            v += high
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(v, out=sums[1:])
+            self.sums.append(_mod(sums).astype(np.uint32))
+            self.down.append(_Powers.get(pow(base, -1, _M), n + 1))
+
+    def _hash(self, starts, ends, size) -> np.ndarray:
+        both = [_mod((s[ends] + np.uint64(_M) - s[starts]) * d[starts]) for s, d in zip(self.sums, self.down)]
+        return mix64((both[0] << np.uint64(31) | both[1]) + size)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return self._hash(starts, ends, (ends - starts).astype(np.uint64) * np.uint64(_GOLDEN))
 
     def windows(self, size: int) -> np.ndarray:
         """Hash of every window of that size, by its start."""
-        n = len(self.sums) - size
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+        n = len(self.sums[0]) - size
+        return self._hash(slice(0, n), slice(size, None), np.uint64(size * _GOLDEN & 0xFFFFFFFFFFFFFFFF)) if n > 0 else np.zeros(0, np.uint64)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

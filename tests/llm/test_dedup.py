@@ -191,8 +191,47 @@ def test_minhash_counts_beyond_16_bits(spark):
     rows = [(0, "a " * 100_004, 1), (1, "a " * 70_004, 1), (2, "b " * 200_004 + own[0], 1), (3, "b " * 200_004 + own[1], 1)]
     got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 2}
-    h, c = np.array([1, 2, 3, 4, 5], np.uint64) << np.uint64(16), np.array([1, 65_535, 65_536, 131_070, 1_000_000])
-    assert [x.tolist() for x in minhash_dedup._unpack(minhash_dedup._pack(h, c))] == [[1, 2, 3, 4, 5], c.tolist()]
+    h, c = np.array([1, 2, 3, 4, 2**64 - 1], np.uint64), np.array([1, 65_535, 65_536, 131_070, 1_000_000])
+    assert [x.tolist() for x in minhash_dedup._unpack(minhash_dedup._pack(h, c))] == [h.tolist(), c.tolist()]
+    assert [x.tolist() for x in minhash_dedup._unpack(minhash_dedup._pack(h, c * 0 + 1))] == [h.tolist(), [1] * 5]
+
+
+def test_minhash_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", 7, "x"), (2, "a b c", 8, "y"), (3, None, 9, None)]
+    got = minhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __key long, __One string"))
+    assert got.columns == ["doc_id", "text", "__key", "__One"]
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def thue_morse(rounds: int) -> tuple[str, str]:
+    a, b = "a", "b"
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_a_thue_morse_pair_apart(spark):
+    """Polynomials modulo a power of two take these for equal, whatever their base."""
+    a, b = thue_morse(12)
+    assert len({*K.Rolling(np.frombuffer((a + b).encode(), np.uint8)).ranges(np.array([0, 4096]), np.array([4096, 8192])).tolist()}) == 2
+    tail = " ".join(f"w{i}" for i in range(19))
+    lines = spark.createDataFrame([(1, f"{a} {tail}", 0), (2, f"{b} {tail}", 0)], DOC)
+    assert {r.doc_id: r.n_removed_lines for r in line_dedup.dedup_lines(lines).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.class_size for r in minhash_dedup.near_duplicates(spark.createDataFrame([(1, a, 0), (2, b, 0)], DOC)).collect()} == {1: 1, 2: 1}
+    one = spark.createDataFrame([(1, a[:1024], 0), (2, b[:1024], 0)], DOC)
+    want = repeats([a[:1024].encode(), b[:1024].encode()], 400)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(one).collect()}
+    assert [got[1], got[2]] == want
+
+
+def repeats(texts: list[bytes], width: int) -> list[int]:
+    """Bytes of each text under a string of width bytes that starts twice or more."""
+    seen = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        gone = {k for i in range(len(t) - width + 1) if seen[t[i : i + width]] > 1 for k in range(i, i + width)}
+        out.append(len(gone))
+    return out
 
 
 def test_minhash_of_an_empty_table(spark):
@@ -210,7 +249,7 @@ def test_dart_signatures_estimate_weighted_similarity():
         for i in rng.choice(600, 20, replace=False):
             v[i] = "x"
         texts += [" ".join(w), " ".join(v)]
-    d, h, c, _ = minhash_dedup.shingles(*K.joined(pa.array(texts)))
+    d, h, c, _, _ = minhash_dedup.shingles(*K.joined(pa.array(texts)))
     s = minhash_dedup.signatures(d, h, c, len(texts))
     e = np.searchsorted(d, np.arange(len(texts) + 1))
     exact = [minhash_dedup.similarity(h[e[i] : e[i + 1]], c[e[i] : e[i + 1]], h[e[i + 1] : e[i + 2]], c[e[i + 1] : e[i + 2]]) for i in range(0, len(texts), 2)]
