@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), texts=False, passage=suffix_dedup.PASSAGE)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

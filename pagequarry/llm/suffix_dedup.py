@@ -18,8 +18,13 @@ rows by offset and content, with partial sums before the shuffle. Windows of a s
 to each other are settled in place and sent on once. A text is read again only where a Bloom filter
 of fixed size lets it through.
 
-Texts are UTF-8 bytes; null is empty; matches never cross texts and may overlap. Rows are known by
-doc_id and text: repeated rows repeat each other and are removed whole if they are long enough."""
+A sequence is the UTF-8 bytes of a text or, by another ``unit``, its words. What counts as repeated is a
+window that starts anywhere else too or, with ``across``, one that another document has too: then groups are
+told by the least and the greatest document in place of a count.
+
+A null text is empty; matches never cross texts and may overlap. Rows are known by doc_id and text:
+repeated rows repeat each other and are removed whole if they are long enough; across documents they
+are one. Empty and short texts have no window. A text is read whole, however long."""
 
 from __future__ import annotations
 
@@ -31,13 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import bloom, bloom_hit, map_text, settle, text_key, tune
+from pagequarry.llm.common import bloom, bloom_hit, discard, map_text, settle, text_key, tune
 from pagequarry.llm.components import sorted_groups
 from pagequarry.llm.textkernel import mix64
 
 WIDTH = 400
 GRAM = 128
 GROUP = 2048
+#: A passage is so many words that another document has too.
+PASSAGE = 51
+PASSAGE_GRAM = 12
 _U32 = np.uint64(32)
 
 
@@ -92,29 +100,43 @@ def _runs(flags: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[i], at[np.append(i[1:], len(at)) - 1]
 
 
-def window_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, hash) of every window of each text."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+def window_hashes(pieces: list[bytes], width: int, kind=np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, hash) of every window of each piece."""
+    data = np.frombuffer(b"".join(pieces), kind)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in pieces])]) // np.dtype(kind).itemsize
     n = np.diff(offs) - width + 1
-    of = np.repeat(np.arange(len(texts)), n)
+    of = np.repeat(np.arange(len(pieces)), n)
     at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     start = offs[of] + at
     return of, at, K.Rolling(data).ranges(start, start + width)
 
 
-def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP, text: str = "text") -> DataFrame:
-    """key (text_key), spans: list of (start, stop) byte ranges, not merged, that repeated windows cover."""
+def _sequence(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts one after another, and offsets."""
+    data, offs = K.joined(column)
+    if unit == "bytes":
+        return data, offs
+    ws, we, wd = K.words(data, offs)
+    return K.Rolling(data).ranges(ws, we), np.searchsorted(wd, np.arange(len(offs)))
+
+
+def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP, text: str = "text", unit: str = "bytes", across: bool = False) -> DataFrame:
+    """key (text_key), spans: list of (start, stop) ranges in units, not merged, that repeated windows cover."""
     tune(df.sparkSession)
     docs = df.select(F.col(text).alias("text"), text_key("doc_id", text).alias("key"))
+    kind = np.uint8 if unit == "bytes" else np.uint64
+    tally = ["lo", "hi"] if across else ["n"]
+    total = [F.min("lo").alias("lo"), F.max("hi").alias("hi")] if across else [F.sum("n").alias("n")]
+    many = F.col("lo") != F.col("hi") if across else F.col("n") > 1
 
     def sample(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offs = K.joined(part.column("text"))
+        data, offs = _sequence(part.column("text"), unit)
         doc, first, last, a, g, whole = sampled(data, offs, width, gram)
-        twice, later = K.repeated(mix64(g.view(np.uint64)) ^ whole.view(np.uint64))
+        same = mix64(g.view(np.uint64)) ^ whole.view(np.uint64)
+        key = part.column("key").to_numpy()
+        twice, later = (np.zeros(len(doc), bool),) * 2 if across else K.repeated(same)
         d, s, e = merged(doc[twice], first[twice], last[twice] + width)
         keep = ~later
-        key = part.column("key").to_numpy()
         n1, n2 = int(keep.sum()), len(d)
         i32 = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int32))
         at, at2 = offs[doc[keep]], offs[d]
@@ -125,77 +147,103 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
             i32(first[keep] - at, s - at2), i32(last[keep] - at, e - width - at2), i32(a[keep] - at, s - at2),
         ], ["key", "n", "gram", "whole", "first", "last", "suffix"])
 
-    t = settle(map_text(docs, sample, "key long, n int, gram long, whole long, first int, last int, suffix int"), "suffixes")
+    t = settle(map_text(docs, sample, "key long, n int, gram long, whole long, first int, last int, suffix int"), f"suffixes-{unit}")
     known = t.where("gram IS NULL").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
+    rows = t.where("gram IS NOT NULL").withColumns({"lo": F.col("key"), "hi": F.col("key")} if across else {})
     # first digit
-    alike = t.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    t1 = settle(t.join(alike, "gram", "left_semi"), "suffixes-1")
+    alike = rows.groupBy("gram").agg(*total).where(many).select("gram")
+    t1 = settle(rows.join(alike, "gram", "left_semi"), "suffixes-1")
     # second digit
     member = F.struct("key", "first", "last", "suffix")
-    groups = settle(t1.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min(member).alias("m")), "suffixes-2")
-    full = groups.where("n > 1").select("gram", "whole")
+    groups = settle(t1.groupBy("gram", "whole").agg(*total, F.min(member).alias("m")), "suffixes-2")
+    full = groups.where(many).select("gram", "whole")
     spans = t1.join(full, ["gram", "whole"], "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
     # the remaining digits, for one member of each group
     kinds = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    ragged = groups.join(kinds, "gram").select("gram", F.least("n", F.lit(2)).cast("int").alias("n"), "members", "m.*")
-    by_doc = ragged.groupBy("key").agg(F.collect_list(F.struct("gram", "n", "members", "first", "last", "suffix")).alias("parts"))  # of one text
+    ragged = groups.join(kinds, "gram").select("gram", "whole", *(tally if across else [F.least("n", F.lit(2)).cast("int").alias("n")]), "members", "m.*")
+    by_doc = ragged.groupBy("key").agg(F.collect_list(F.struct("gram", "whole", *tally, "members", "first", "last", "suffix")).alias("parts"))  # of one text
     by_doc = settle(by_doc, "suffixes-3")
     some = docs.where(bloom_hit(df.sparkSession, "key", bloom(by_doc.select("key")))).join(by_doc, "key")
+    tallies = ", ".join(f"{c} {'long' if across else 'int'}" for c in tally)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = part.column("parts")
         flat = rows.flatten()
         col = lambda c: flat.field(c).to_numpy()
         of = np.repeat(np.arange(part.num_rows), np.diff(rows.offsets.to_numpy()))
-        raw = [x.encode() for x in part.column("text").to_pylist()]
+        data, offs = _sequence(part.column("text"), unit)
         first, last = col("first"), col("last")
-        piece = [raw[i][a : b + width] for i, a, b in zip(of, first, last)]
-        return pa.RecordBatch.from_arrays([part.column("key").take(pa.array(of)), flat.field("gram"), flat.field("n"), flat.field("members"), pa.array(first), pa.array(col("suffix") - first), pa.array(piece, pa.binary())], ["key", "gram", "n", "members", "first", "into", "piece"])
+        piece = [data[a : b + width].tobytes() for a, b in zip(offs[of] + first, offs[of] + last)]
+        names = ["gram", "whole", *tally, "members"]
+        return pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), pa.array(col("suffix") - first), pa.array(piece, pa.binary())], [*names, "into", "piece"])
 
-    pieces = settle(map_text(some.select("key", "text", "parts"), cut, "key long, gram long, n int, members long, first int, into int, piece binary"), "suffixes-4")
+    pieces = settle(map_text(some.select("key", "text", "parts"), cut, f"gram long, whole long, {tallies}, members long, into int, piece binary"), "suffixes-4")
 
     def compare(g: pa.Table) -> pa.RecordBatch | None:
         g = g.combine_chunks()
-        of, at, h = window_hashes(g.column("piece").to_pylist(), width)
-        into, n, gr = g.column("into").to_numpy(), g.column("n").to_numpy(), g.column("gram").to_numpy()
-        full = mix64(h ^ mix64((into[of] - at).astype(np.uint64) ^ mix64(gr[of].view(np.uint64))))
-        order = np.argsort(full, kind="stable")
-        new = np.concatenate([[True], full[order][1:] != full[order][:-1]])
-        total = np.bincount(np.cumsum(new) - 1, weights=n[of[order]])
+        of, at, h = window_hashes(g.column("piece").to_pylist(), width, kind)
+        into, gr = g.column("into").to_numpy(), g.column("gram").to_numpy()
+        alike = mix64(h ^ mix64((into[of] - at).astype(np.uint64) ^ mix64(gr[of].view(np.uint64))))
+        order = np.argsort(alike, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], alike[order][1:] != alike[order][:-1]]))
+        group_of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        counts = [g.column(c).to_numpy() for c in tally]
         hit = np.zeros(len(of), bool)
-        hit[order] = total[np.cumsum(new) - 1] > 1
-        a, b = _runs(hit & (n[of] == 1), of)
+        if across:
+            lo, hi = (f.reduceat(x[of[order]], head) for f, x in zip((np.minimum, np.maximum), counts))
+            hit[order], single = (lo != hi)[group_of], counts[0] == counts[1]
+        else:
+            hit[order], single = (np.add.reduceat(counts[0][of[order]], head) > 1)[group_of], counts[0] == 1
+        a, b = _runs(hit & single[of], of)
         if not len(a):
             return None
-        key, first = g.column("key").to_numpy()[of[a]], g.column("first").to_numpy()[of[a]]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array((first + at[a]).astype(np.int32)), pa.array((first + at[b] + width).astype(np.int32))], ["key", "start", "stop"])
+        whole = g.column("whole").to_numpy()[of[a]]
+        return pa.RecordBatch.from_arrays([pa.array(gr[of[a]]), pa.array(whole), pa.array(at[a].astype(np.int32)), pa.array((at[b] + width).astype(np.int32))], ["gram", "whole", "start", "stop"])
 
-    small = sorted_groups(pieces.where(F.col("members") <= group), ["gram"], compare, "key long, start int, stop int", together=True)
+    small = sorted_groups(pieces.where(F.col("members") <= group), ["gram"], compare, "gram long, whole long, start int, stop int", together=True)
 
     def explode(batches):
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 s = b.slice(i, 64)
-                of, at, h = window_hashes(s.column("piece").to_pylist(), width)
+                of, at, h = window_hashes(s.column("piece").to_pylist(), width, kind)
                 col = lambda c: s.column(c).to_numpy()[of]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(col("gram")), pa.array((col("into") - at).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(col("n")), pa.array(col("key")), pa.array((col("first") + at).astype(np.int32))], ["gram", "d", "h", "n", "key", "start"])
-
-    rows = pieces.where(F.col("members") > group).mapInArrow(explode, "gram long, d int, h long, n int, key long, start int")
-    common = rows.groupBy("gram", "d", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    large = rows.where("n = 1").join(common, ["gram", "d", "h"], "left_semi").select("key", "start", (F.col("start") + width).alias("stop"))
-    every = known.unionByName(spans).unionByName(small).unionByName(large)
-    return every.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one text
-
-
-def remove_repeats(df: DataFrame, width: int = WIDTH, text: str = "text", texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts, kept (binary: the remaining bytes)."""
+                yield pa.RecordBatch.from_arrays([pa.array(col("gram")), pa.array((col("into") - at).astype(np.int32)), pa.array(h.view(np.int64)), *(pa.array(col(c)) for c in tally), pa.array(col("whole")), pa.array(at.astype(np.int32))], ["gram", "d", "h", *tally, "whole", "start"])
+
+    rows = pieces.where(F.col("members") > group).mapInArrow(explode, f"gram long, d int, h long, {tallies}, whole long, start int")
+    common = rows.groupBy("gram", "d", "h").agg(*total).where(many).select("gram", "d", "h")
+    large = rows.where(~many).join(common, ["gram", "d", "h"], "left_semi").select("gram", "whole", "start", (F.col("start") + width).alias("stop"))
+    # what holds for the member holds at the same distances for all of its group
+    hits = small.unionByName(large).join(t1.select("gram", "whole", "key", "first"), ["gram", "whole"]).select("key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
+    every = known.unionByName(spans).unionByName(hits)
+    out = settle(every.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffixes-spans")  # of one text
+    discard(t, t1, groups, by_doc, pieces)
+    return out
+
+
+def passages(df: DataFrame, words: int = PASSAGE, text: str = "text") -> DataFrame:
+    """key (text_key), n_passage_words: words of the text within windows of so many words that another document has
+    too, for the texts that have any."""
+    spans = repeated_spans(df, words, PASSAGE_GRAM, text=text, unit="words", across=True)
+    fresh = lambda a, x: F.greatest(x["stop"] - F.greatest(a["end"], x["start"]), F.lit(0))
+    state = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, x: F.struct(F.greatest(a["end"], x["stop"]).alias("end"), (a["n"] + fresh(a, x)).alias("n"))
+    return spans.select("key", F.aggregate(F.array_sort("spans"), state, step, lambda a: a["n"]).alias("n_passage_words"))
+
+
+def remove_repeats(df: DataFrame, width: int = WIDTH, text: str = "text", texts: bool = True, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts, kept (binary: the remaining bytes); with
+    passage (a number of words) n_passage_words, which removes nothing."""
     docs = df.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), text_key("doc_id", text).alias("key"))
-    spans = settle(repeated_spans(df, width, text=text), "suffixes-spans")
-    hit = bloom_hit(df.sparkSession, "key", bloom(spans.select("key")))
-    size, whole = F.octet_length("text").cast("long"), F.encode("text", "UTF-8")
-    extra = [whole.alias("kept")] if texts else []
-    alone = docs.where(~hit).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), *extra)
+    facts = repeated_spans(df, width, text=text)
+    if passage:
+        facts = settle(facts.join(passages(df, passage, text), "key", "full"), "suffixes-facts")
+    hit = bloom_hit(df.sparkSession, "key", bloom(facts.select("key")))
+    size, whole, zero = F.octet_length("text").cast("long"), F.encode("text", "UTF-8"), F.lit(0).cast("long")
+    extra = [whole.alias("kept")] * texts + [zero.alias("n_passage_words")] * bool(passage)
+    alone = docs.where(~hit).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), *extra)
     id_type = df.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts + ["n_passage_words"] * bool(passage)
 
     def remove(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -211,9 +259,11 @@ def remove_repeats(df: DataFrame, width: int = WIDTH, text: str = "text", texts:
             left = b"".join(kept)
             out.append((len(raw), gone, n, hashlib.sha256(left).hexdigest(), left))
         cols = list(zip(*out))
-        arrays = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3]), pa.array(cols[4], pa.binary())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        return pa.RecordBatch.from_arrays(arrays if texts else arrays[:-1], names if texts else names[:-1])
-
-    touched = docs.where(hit).join(spans, "key", "left").select("doc_id", "text", "spans")
-    return alone.unionByName(map_text(touched, remove, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts))
+        arrays = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])]
+        arrays += [pa.array(cols[4], pa.binary())] * texts + part.columns[3:]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    more = [F.coalesce("n_passage_words", zero).alias("n_passage_words")] * bool(passage)
+    touched = docs.where(hit).join(facts, "key", "left").select("doc_id", "text", "spans", *more)
+    kinds = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts + ", n_passage_words long" * bool(passage)
+    return alone.unionByName(map_text(touched, remove, kinds))

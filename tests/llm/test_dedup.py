@@ -64,8 +64,33 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, group):
     assert kept[102] == b"" and hashlib.sha256(kept[3]).hexdigest() in {r[4] for r in brute_repeats(rows, 50)}
 
 
+@pytest.mark.parametrize("group", [2048, 2])
+def test_passages_match_brute_force(spark, monkeypatch, group):
+    """Words in windows of 12 words that another document has too; copies within a text don't count, repeated rows are one."""
+    rng = random.Random(8)
+    passage = words(rng, 40)
+    rows = [(i, " ".join([*words(rng, rng.randrange(0, 30)), *passage[rng.randrange(0, 9) : rng.randrange(15, 40)], *words(rng, 5)]) if i % 2 else " ".join(words(rng, 40))) for i in range(60)]
+    rows += [(100, " ".join(words(rng, 20) * 3)), (101, "the " * 60), (102, "the\n" * 14), (103, "of " * 30), (104, None), (105, ""), (106, rows[1][1]), (106, rows[1][1]), (107, " ".join(passage * 2))]
+    monkeypatch.setattr(suffix_dedup, "PASSAGE_GRAM", 5)
+    original = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, w, g=128, **o: original(d, w, g, group, **o))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], DOC), passage=12, texts=False)
+    held = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 11):
+            held[tuple(w[k : k + 12])].add(i)
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        want.append((i, len({k + x for k in range(len(w) - 11) if len(held[tuple(w[k : k + 12])]) > 1 for x in range(12)})))
+    assert sorted((r.doc_id, r.n_passage_words) for r in got.collect()) == sorted(want)
+    assert sum(n for _, n in want) > 300
+
+
 def test_suffix_dedup_of_an_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOC)).count() == 0
+    assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOC), passage=51).columns[-1] == "n_passage_words"
 
 
 def test_sliding_min():
