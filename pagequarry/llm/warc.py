@@ -5,10 +5,12 @@ SHA-1 and length; of the rows that share one, the largest page_id becomes the re
 others revisit records that refer to it. ``read_archives`` checks each record (member checksum,
 version line, header block, declared length, end of record, payload digest); where a check fails
 it searches on for the next member or version line that starts a valid record, goes on from there,
-and reports the skipped bytes as a gap with its reason. A file is streamed by one task, so memory
-follows the largest record and not the archive.
+and reports the skipped bytes as a gap with its reason. A member may hold several records: they share
+its place in the file, and only the part of it that fails is a gap. A file is streamed by one task, so
+memory follows the largest member (or plain record) and not the archive.
 
-A null html is an empty payload, a null url an absent target. Rows with a null page_id are
+A null html is an empty payload, a null or empty url an absent target. White space and control characters
+of a url are written as %XX, as a header can't hold them. Page ids are read as longs. Rows with a null page_id are
 responses unless a row with an id has the same payload; if several rows share the largest id they
 are all responses. Other columns of the pages are left alone. Archives go to the shared folder by
 pyarrow's file systems under names made from the partition, so a task that runs again after a lost
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -28,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import map_text, settle, shared_dir, tune
+from pagequarry.llm.common import bloom, bloom_hit, settle, shared_dir, tune
 
 ROLL_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads of at least so many bytes are revisited.
 MIN_REVISIT = 0
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 #: A fixed date keeps archives of the same rows equal.
 DATE = "2024-01-01T00:00:00Z"
@@ -53,6 +57,11 @@ def page_of(urn: str | None) -> int | None:
     return int(part[2]) if len(part) == 4 and part[2] else None
 
 
+def target_uri(url: str) -> str:
+    """url with its control characters and white space as %XX."""
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def render(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
     """A response record, or a revisit record (without payload) of refers_to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -60,11 +69,11 @@ def render(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {DATE}"]
     if url:
-        head.append("WARC-Target-URI: " + "".join(url.split()))
+        head.append("WARC-Target-URI: " + target_uri(url))
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"WARC-Refers-To-Date: {DATE}"]
         if refers_url:
-            head.append("WARC-Refers-To-Target-URI: " + "".join(refers_url.split()))
+            head.append("WARC-Refers-To-Target-URI: " + target_uri(refers_url))
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -84,10 +93,16 @@ def write_pages(pages: DataFrame, uri: str, min_revisit: int = MIN_REVISIT, roll
     """Write page_id, url, html as archives under uri; returns path, n_records, n_bytes of each file."""
     tune(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    # only payloads that occur twice take part in the join; where one of them is hot, AQE splits its rows
-    twins = rows.where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url")).where("n > 1").select("sha", "size", "first", "first_url")
-    marked = rows.join(twins, ["sha", "size"], "left").select("page_id", "url", "first", "first_url", F.when(F.col("page_id").eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(False)).otherwise(F.lit(True)).alias("revisit"), "html")
+    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html")).withColumn("digest", F.xxhash64("sha", "size"))
+    # digests alone find the payloads that occur twice; only rows that may have one (by a Bloom filter) take part in
+    # the join, where AQE splits a hot one, and the others are written where they are read
+    twins = rows.where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url")).where("n > 1")
+    twins = settle(twins.select("sha", "size", "first", "first_url"), "warc-twins")
+    hit = bloom_hit(pages.sparkSession, "digest", bloom(twins.select(F.xxhash64("sha", "size").alias("digest"))))
+    first, revisit = F.col("first"), ~(F.col("page_id").eqNullSafe(F.col("first")) | F.col("first").isNull())
+    marked = rows.where(hit).join(twins, ["sha", "size"], "left").select("page_id", "url", first, "first_url", revisit.alias("revisit"), "html")
+    none = [F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("first_url"), F.lit(False).alias("revisit")]
+    marked = rows.where(~hit).select("page_id", "url", *none, "html").unionByName(marked)
     suffix = "warc.gz" if compress else "warc"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +210,11 @@ def _check(head: dict[str, str], block: bytes) -> dict:
     return {"type": kind, "id": head["warc-record-id"], "target": head.get("warc-target-uri"), "refers": head.get("warc-refers-to"), "digest": declared.removeprefix("sha1:") or None, "payload": payload, "payload_bytes": length}
 
 
-def _parse(get, limit: int | None) -> tuple[dict, int]:
+def _parse(get) -> tuple[dict, int]:
     """A record from get(n) -> first n bytes (fewer at the end); its fields and its length."""
     n = 4096
     while (cut := (raw := get(n)).find(b"\r\n\r\n")) < 0:
-        if len(raw) < n or n > 1 << 22:
+        if len(raw) < n:
             raise Bad("header block without end")
         n *= 4
     lines = raw[:cut].partition(b"\r\n")
@@ -215,13 +230,11 @@ def _parse(get, limit: int | None) -> tuple[dict, int]:
         raise Bad("cut short")
     if raw[total - 4 : total] != b"\r\n\r\n":
         raise Bad("end of record")
-    if limit is not None and limit != total:
-        raise Bad("bytes after the record")
     return _check(head, bytes(raw[cut + 4 : total - 4])), total
 
 
-def _member_at(s: _Stream, pos: int) -> tuple[dict, int]:
-    """The record of the gzip member at pos, and where the member ends."""
+def _member_at(s: _Stream, pos: int) -> tuple[list[tuple[str, object]], int]:
+    """What the gzip member at pos holds, records and gaps, and where the member ends."""
     d, out, at = zlib.decompressobj(31), [], pos
     while not d.eof:
         if not s.fill(at + 1):
@@ -234,34 +247,34 @@ def _member_at(s: _Stream, pos: int) -> tuple[dict, int]:
         if len(out) == 1 and not b"WARC/1.".startswith(out[0][:7]):
             raise Bad("member without a record")
         at += len(piece) - len(d.unused_data)
-    raw = b"".join(out)
-    return _parse(lambda n: raw[:n], len(raw))[0], at
+    inner = list(salvage(io.BytesIO(b"".join(out)), members=False))
+    if not any(kind == "record" for kind, *_ in inner):
+        raise Bad(inner[0][3] if inner else "member without a record")
+    return [(kind, got if kind == "record" else f"bytes {a} to {z} of the member: {got}") for kind, a, z, got in inner], at
 
 
-def _plain_at(s: _Stream, pos: int) -> tuple[dict, int]:
+def _plain_at(s: _Stream, pos: int) -> tuple[list[tuple[str, object]], int]:
     def get(n: int) -> bytes:
         s.fill(pos + n)
         return bytes(s.buf[pos - s.base : pos - s.base + n])
 
-    got, size = _parse(get, None)
-    return got, pos + size
+    got, size = _parse(get)
+    return [("record", got)], pos + size
 
 
-def salvage(f) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, fields) and ("gap", start, end, reason) that together cover the file, in order."""
+def salvage(f, members: bool = True) -> Iterator[tuple[str, int, int, object]]:
+    """("record", start, end, fields) and ("gap", start, end, reason) that together cover the file, in order.
+    Without members a gzip member is not a start."""
     s = _Stream(f)
-    if not s.fill(1):
-        return
-    s.fill(3)
     pos, gap, why = 0, None, ""
     while s.fill(pos + 1):
         s.fill(pos + 8)
         start = bytes(s.buf[pos - s.base : pos - s.base + 7])
-        kind = _member_at if start[:3] == b"\x1f\x8b\x08" else _plain_at if start == b"WARC/1." else None
+        kind = _member_at if members and start[:3] == b"\x1f\x8b\x08" else _plain_at if start == b"WARC/1." else None
         try:
             if kind is None:
                 raise Bad("no record starts here")
-            got, end = kind(s, pos)
+            found, end = kind(s, pos)
         except Bad as e:
             if gap is None:
                 gap, why = pos, str(e)
@@ -272,7 +285,8 @@ def salvage(f) -> Iterator[tuple[str, int, int, object]]:
         if gap is not None:
             yield "gap", gap, pos, why
             gap = None
-        yield "record", pos, end, got
+        for what, got in found:
+            yield what, pos, end, got
         pos = end
         s.drop(pos)
     if gap is not None:
@@ -317,8 +331,15 @@ def read_archives(files: DataFrame, uri: str, payloads: bool = True) -> DataFram
 
 def roundtrip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back: page_id, payload_bytes,
-    payload_digest, record_type, refers_to (page_id of the response), target, gap (bytes lost, 0)."""
+    payload_digest, record_type, refers_to (page_id of the response), target. An error if the archives give
+    back another number of records than were written, or any gap."""
     uri = f"{shared_dir(pages.sparkSession)}/pagequarry-warc-{uuid.uuid4().hex}"
-    found = read_archives(write_pages(pages, uri), uri, payloads=False).where("kind = 'record'")
+    files = write_pages(pages, uri)
     number = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) AS BIGINT)")
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "target")
+    fields = [number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "target"]
+    found = settle(read_archives(files, uri, payloads=False).select("kind", *fields), "warc-found")
+    wrote = files.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    read, gaps = found.agg(F.expr("count_if(kind = 'record')"), F.expr("count_if(kind = 'gap')")).first()
+    if (read, gaps) != (wrote, 0):
+        raise ValueError(f"{wrote} records written, {read} read with {gaps} gaps")
+    return found.drop("kind")

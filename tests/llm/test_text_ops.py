@@ -247,6 +247,33 @@ def test_warc_round_trip(spark, tmp_path, compress):
     assert trip.columns[:5] == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] and trip.count() == len(rows)
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_of_odd_urls(spark, tmp_path, compress):
+    urls = ["https://e.org/\x01a", "https://e.org/a b\tc\r\nWARC-Type: x", "", "https://e.org/" + "q" * 3_000_000, "https://e.org/\u2028é", "https://e.org/\x7f%20"]
+    df = spark.createDataFrame([(i, u, "same" if i < 2 else f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {warc.page_of(r.record_id): r for r in warc.read_archives(warc.write_pages(df, f"file://{tmp_path}/w", compress=compress), f"file://{tmp_path}/w").collect()}
+    want = ["https://e.org/%01a", "https://e.org/a%20b%09c%0D%0AWARC-Type:%20x", None, urls[3], "https://e.org/%E2%80%A8é", "https://e.org/%7F%20"]
+    assert [got[i].target for i in range(6)] == want and got[0].record_type == "revisit"
+    assert {r.page_id: r.target for r in warc.roundtrip(df).collect()} == dict(enumerate(want))
+
+
+def test_salvage_of_members_with_several_records():
+    recs = [warc.render(i, None, b"x" * i, warc.digest32(b"x" * i)) for i in range(9)]
+    damaged = recs[4].replace(b"xxxx", b"xxyx")
+    data = warc.member(b"".join(recs[:3])) + warc.member(recs[3] + damaged + recs[5]) + warc.member(b"".join(recs[6:]))
+    out = list(warc.salvage(io.BytesIO(data)))
+    assert [warc.page_of(x[3]["id"]) for x in out if x[0] == "record"] == [0, 1, 2, 3, 5, 6, 7, 8]
+    gaps = [x for x in out if x[0] == "gap"]
+    assert len(gaps) == 1 and f"bytes {len(recs[3])} to {len(recs[3] + damaged)}" in gaps[0][3] and "payload digest" in gaps[0][3]
+
+
+def test_salvage_of_a_header_block_beyond_16_mib():
+    rec = warc.render(1, "https://e.org/" + "q" * (17 << 20), b"p", warc.digest32(b"p"))
+    for data in (rec + warc.render(2, None, b"z", warc.digest32(b"z")), warc.member(rec, 1)):
+        out = list(warc.salvage(io.BytesIO(data)))
+        assert {x[0] for x in out} == {"record"} and warc.page_of(out[0][3]["id"]) == 1
+
+
 def test_warc_of_an_empty_table(spark):
     assert warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
