@@ -75,12 +75,13 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Re
     return df.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def labels_of(linked: np.ndarray) -> np.ndarray:
-    """Least reachable index of each row of a symmetric boolean matrix."""
-    n = len(linked)
+def labels_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least index that each of n reaches by links a[i] - b[i]."""
     labels = np.arange(n)
     while True:
-        nxt = np.minimum(labels, np.where(linked, labels[None, :], n).min(axis=1, initial=n))
+        nxt = labels.copy()
+        np.minimum.at(nxt, a, labels[b])
+        np.minimum.at(nxt, b, labels[a])
         nxt = nxt[nxt]
         if (nxt == labels).all():
             return labels

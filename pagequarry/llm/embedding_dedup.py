@@ -13,7 +13,8 @@ of classes, to keep buckets near BLOCK.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and are
 components of their own, as are vectors of another length than any near one. Repeated rows are
-vectors of their own and link. A null vec_id never is a component's id unless all ids are null."""
+vectors of their own and link. A null vec_id never is a component's id unless all ids are null; ids are read
+as longs. Vectors travel in the precision that they have; their products are made in double precision."""
 
 from __future__ import annotations
 
@@ -38,6 +39,10 @@ def parameters(n: int, threshold: float, recall: float = RECALL) -> tuple[int, i
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
 
 
+def e_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.elementType.simpleString()
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.9, column: str = "embedding", recall: float = RECALL, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of df."""
     spark = df.sparkSession
@@ -48,27 +53,33 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, column: str = "embedd
     keyed = rows.select("vec_id", "ok", "v", F.xxhash64("v").alias("cls"))
     classes = settle(keyed.where("ok").groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.any_value("v").alias("v")), "vec-classes")
     bits, tables = parameters(classes.count(), threshold, recall)
-    key_type = np.int64
+    single = e_type(df, column) == "float"
+    kind = np.float32 if single else np.float64
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        """Rows of length 1, in double precision."""
+        x = x.astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
     def hash_keys(batches):
         for b in batches:
             v = b.column("v")
             dims = np.diff(v.offsets.to_numpy())
-            flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype(kind)
             at = np.concatenate([[0], np.cumsum(dims)])
-            keys = np.zeros((b.num_rows, tables), key_type)
+            signs = np.zeros((b.num_rows, tables), np.int32)
             packed: list[bytes] = [b""] * b.num_rows
             for d in np.unique(dims):
                 of = np.flatnonzero(dims == d)
                 x = flat[at[of][:, None] + np.arange(d)]
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
                 planes = np.random.default_rng([seed, int(d)]).normal(size=(d, tables * bits))
-                signs = (x @ planes > 0).reshape(len(of), tables, bits)
-                keys[of] = (signs * (1 << np.arange(bits))).sum(axis=2) + (int(d) << bits)
+                over = (unit(x) @ planes > 0).reshape(len(of), tables, bits)
+                signs[of] = (over * (1 << np.arange(bits))).sum(axis=2)
                 for i, row in zip(of, x):
                     packed[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("n"), pa.array(packed, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["cls", "n", "x", "sig", "keys"])
+            keys = signs.astype(np.int64) + (dims.astype(np.int64) << bits)[:, None]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("n"), pa.array(packed, pa.binary()), pa.array([k.tobytes() for k in signs], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["cls", "n", "x", "sig", "keys"])
 
     hashed = settle(classes.select("cls", "n", "v").mapInArrow(hash_keys, "cls long, n long, x binary, sig binary, keys array<long>"), "vec-keys")
     entries = hashed.select("cls", "n", F.posexplode("keys").alias("t", "key"))
@@ -84,29 +95,22 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, column: str = "embedd
         g = g.combine_chunks()
         block = g.column("block").to_numpy()
         cls, n = g.column("cls").to_numpy(), g.column("n").to_numpy()
-        x = np.stack([np.frombuffer(b) for b in g.column("x").to_pylist()])
-        sig = np.stack([np.frombuffer(b, key_type) for b in g.column("sig").to_pylist()])
-        if i == j:
-            if len(cls) < 2:
-                return None
-            near = x @ x.T >= threshold
-            np.fill_diagonal(near, False)
-            near &= near.T
-        else:
-            a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(a) or not len(b):
-                return None
-            near = np.zeros((len(cls), len(cls)), bool)
-            part = x[a] @ x[b].T >= threshold
-            near[np.ix_(a, b)] = part
-            near[np.ix_(b, a)] = part.T
-        if not near.any():
+        if len(cls) < 2:
+            return None
+        x = unit(np.stack([np.frombuffer(b, kind) for b in g.column("x").to_pylist()]))
+        left, right = (np.arange(len(cls)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+        a, b = left[a], right[b]
+        once = a < b if i == j else a != b
+        a, b = a[once], b[once]
+        if not len(a):
             return None
-        labels = labels_of(near)
-        first = near
+        labels = labels_of(a, b, len(cls))
+        sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.int32).reshape(len(cls), -1)
         for k in range(t):  # an earlier table has counted the pairs that meet there
-            first = first & (sig[:, k][:, None] != sig[:, k][None, :])
-        links = first @ n
+            new = sig[a, k] != sig[b, k]
+            a, b = a[new], b[new]
+        links = np.bincount(a, n[b], len(cls)) + np.bincount(b, n[a], len(cls))
         some = np.flatnonzero((links > 0) | (labels != np.arange(len(cls))))
         return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(links[some].astype(np.int64)), pa.array(cls[labels[some]])], ["cls", "links", "root"])
 

@@ -307,5 +307,22 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, block):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in odd)
 
 
+def test_embedding_recall_of_planted_pairs(spark):
+    """Of pairs just over the threshold, among 20,000 vectors, nearly all are found, and none below it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(500, 64))
+    side -= (side * x[:500]).sum(1, keepdims=True) * x[:500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = np.where(np.arange(500) % 5 == 4, 0.899, 0.901)[:, None]
+    x[10_000:10_500] = cos * x[:500] + np.sqrt(1 - cos**2) * side
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    found = [got[i] == got[10_000 + i] == (1, i) for i in range(500) if i % 5 != 4]
+    assert sum(found) >= 0.99 * len(found)
+    assert all(got[i] == (0, i) for i in range(500) if i % 5 == 4) and sum(n for n, _ in got.values()) == 2 * sum(found)
+
+
 def test_embedding_dedup_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
