@@ -5,9 +5,15 @@ learned; the cut-off is the quantile of the scores that leaves as large a share
 it as the labels call bad. Features are shares and ratios of a text's own bytes and words.
 Labels, language, source and id are never features.
 
-Training uses at most ``max_labels`` labelled rows (those with the smallest hash of their id),
-which bounds the driver's work; every text is then scored by one narrow pass without a shuffle.
-Null and empty texts get the score of their (zero) features. Without two classes the score is 0.5."""
+Training uses at most ``max_labels`` labelled documents (those with the smallest hash of their id),
+one text each, which bounds the driver's work; every text is then scored by one narrow pass without a
+shuffle. The cut comes from the labelled sample too: the share of bad labels says something of texts
+that are drawn as those were, and nothing of a corpus that is made up otherwise.
+
+Null and empty texts get the score of their (zero) features. Without two classes the score is 0.5. Of rows
+that share a doc_id the least text is learned from, of labels that share one the least label; all such rows
+are scored. Rows with a null doc_id are never learned from. Equal scores get equal verdicts. A column
+score or predicted of the input, in whatever case, is replaced."""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import map_text
+from pagequarry.llm.common import discard, map_text, settle, without
 
 _PUNCT = K.table(b",.;:'\"()-")
 _DIGIT = K.table(b"0123456789")
@@ -111,13 +117,21 @@ def bounded_labels(labels: DataFrame, label: str, usable: Column, max_labels: in
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labels: int) -> DataFrame:
+    """(text, y) of at most max_labels labelled documents, written down: one row a doc_id, its least text."""
+    chosen = bounded_labels(labels, label, usable, max_labels)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return settle(rows.select("text", "y"), f"train-{label}")
+
+
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", max_labels: int = 20_000) -> PairwiseRanker:
     def take(part: pa.RecordBatch) -> pa.RecordBatch:
         x = features(*K.joined(part.column("text")))
         return pa.RecordBatch.from_arrays([part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
-    chosen = bounded_labels(labels, label, usable, max_labels)
-    rows = map_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), take, "y int, x binary").collect()
+    train = training_rows(docs, labels, label, usable, max_labels)
+    rows = map_text(train, take, "y int, x binary").collect()
+    discard(train)
     rows.sort(key=lambda r: (r["x"], r["y"]))  # the order of tasks must not matter
     x = np.stack([np.frombuffer(r["x"]) for r in rows]) if rows else np.zeros((0, N_FEATURES))
     return fit_pairs(x, np.array([r["y"] for r in rows], int))
@@ -125,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
 def score_documents(docs: DataFrame, model: PairwiseRanker, threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted (1 if score >= threshold); columns of these names are replaced."""
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("score", "predicted")])
+    docs = without(docs, "score", "predicted")
     names = docs.columns
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import map_text
+from pagequarry.llm.common import map_text, without
 
 SYMBOLS = K.table(b"#*$%&|<>")
 _UPPER, _LETTER = K.table(bytes(range(65, 91))), K.table(bytes(range(65, 91)) + bytes(range(97, 123)))
@@ -113,7 +113,7 @@ def clean_documents(df: DataFrame, text: str = "text", rules: LineRules = LineRu
     """df with counts, n_lost_words, base_failed, kept and, if texts, clean_text (failing lines removed;
     null stays null). A column of df with one of these names is replaced."""
     added = [*COUNTS, "n_lost_words", *VERDICTS] + ["clean_text"] * texts
-    df = df.select(*[f"`{c}`" for c in df.columns if c not in added])
+    df = without(df, *added)
     names = df.columns
 
     def judge(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -10,9 +10,12 @@ of slots whose texts deviate from that bring in both, however neutral each is al
 of the slots in ``min_texts`` texts are tested, so their gain has to be larger by the log of their number.
 Slots whose texts all together can't reach it are left out first, by a bound that loses no pair.
 
-Training sees at most ``max_labels`` labelled rows (smallest hash of the id), max_terms slots and the slots
-of max_terms pairs, so what the model holds is bounded; scoring is one narrow pass. Null and empty texts score
-sigmoid(b). Without labels of both classes every score is the share of toxic labels."""
+Training sees at most ``max_labels`` labelled documents (smallest hash of the id), one text each, max_terms slots
+and the slots of max_terms pairs, so what the model holds is bounded; scoring is one narrow pass. Null and empty
+texts score sigmoid(b). Without labels of both classes every score is the share of toxic labels. Of rows that share
+a doc_id the least text is learned from, of labels that share one the least label; all such rows are scored. Rows
+with a null doc_id are never learned from. Equal texts get equal scores. A column score or predicted of the input,
+in whatever case, is replaced."""
 
 from __future__ import annotations
 
@@ -24,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import map_text, settle
-from pagequarry.llm.quality_classifier import bounded_labels
+from pagequarry.llm.common import map_text, settle, without
+from pagequarry.llm.quality_classifier import training_rows
 
 SLOT_BITS = 22
 PREFIXES = (4, 5)
@@ -138,8 +141,7 @@ def pair_gains(slots: np.ndarray, texts: list[np.ndarray], y: np.ndarray, p: np.
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_labels: int = 20_000, max_terms: int = 8192, min_texts: int = 3, min_gain: float = 6.0) -> FactorizationMachine:
-    chosen = bounded_labels(labels, label, usable, max_labels)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    train = training_rows(docs, labels, label, usable, max_labels)
 
     def slots_of(part: pa.RecordBatch) -> pa.RecordBatch:
         d, s = present(*term_slots(*K.joined(part.column("text"))), 1 << SLOT_BITS)
@@ -213,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
 def score_documents(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted (1 if score >= threshold); columns of these names are replaced."""
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("score", "predicted")])
+    docs = without(docs, "score", "predicted")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[str, np.ndarray] = {}
