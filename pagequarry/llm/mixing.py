@@ -33,6 +33,7 @@ MOST = 3
 MAX_SOURCES = 1_000_000
 CHUNK = 1 << 16
 BUCKET_DOCS = 1024
+SPAN = 1024
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,8 +122,7 @@ def schedule(docs: DataFrame, p: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), c)), pa.array(s.astype(np.int32)), pa.array(k[s].astype(np.int64))], ["chunk", "s", "k"])
 
     counts = settle(chunks.mapInArrow(count, "chunk long, s int, k long"), "mix-slots")
-    before = counts.withColumn("before", F.sum("k").over(W.partitionBy("s").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)))
-    starts = before.groupBy("chunk").agg(F.collect_list(F.struct("s", F.coalesce("before", F.lit(0)).alias("before"))).alias("starts"))  # one entry a source at most
+    starts = before(counts, "chunk", "k").groupBy("chunk").agg(F.collect_list(F.struct("s", "before")).alias("starts"))  # one entry a source at most
     blocks, last = p.blocks, p.last
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +153,16 @@ def schedule(docs: DataFrame, p: Plan) -> DataFrame:
     return out
 
 
+def before(df: DataFrame, at: str, value: str) -> DataFrame:
+    """df (s, at, value; a row for each s and at) with before: the sum of value over smaller at of the same s. Sums of
+    SPAN neighbours come first, so that no task sees all of a large source."""
+    span = df.withColumn("span", F.expr(f"{at} div {SPAN}"))
+    up = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = span.groupBy("s", "span").agg(F.sum(value).alias("all")).withColumn("base", up(W.partitionBy("s").orderBy("span"), "all")).drop("all")
+    inner = span.withColumn("own", up(W.partitionBy("s", "span").orderBy(at), value))
+    return inner.join(spans, ["s", "span"]).withColumn("before", F.col("base") + F.col("own")).drop("span", "base", "own")
+
+
 def layout(docs: DataFrame, p: Plan) -> DataFrame:
     """docs (row, doc_id, source, size, key) with s and start, the document's place in its shuffled source."""
     spark = docs.sparkSession
@@ -160,8 +170,7 @@ def layout(docs: DataFrame, p: Plan) -> DataFrame:
     n_buckets = max(1, docs.count() // BUCKET_DOCS)
     d = docs.join(F.broadcast(names) if len(p.names) < 10_000 else names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     d = d.withColumn("mixed", F.xxhash64("key", F.lit(17))).withColumn("bucket", F.pmod("mixed", F.lit(n_buckets)))
-    sums = d.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    sums = before(d.groupBy("s", "bucket").agg(F.sum("size").alias("n")), "bucket", "n").select("s", "bucket", F.col("before").alias("base"))
     inner = W.partitionBy("s", "bucket").orderBy("mixed", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("size").over(inner))
     return d.join(sums, ["s", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("mixed", "bucket", "upto", "base")

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.llm import bpe, mixing, quality_classifier, quality_rules, queries, toxicity, warc
 
@@ -345,3 +346,33 @@ def test_bpe_ids_decode(spark):
     out = bpe.decode_documents(bpe.encode_documents(df, ranks, pattern, chunk=500, overlap=50), ranks, pattern).collect()
     assert Counter(bytes(r.decoded or b"") for r in out) == Counter((r.text or "").encode() for r in df.collect())
     assert bpe.encode_documents(df.limit(0), ranks, pattern).count() == 0
+
+
+def test_training_rows_are_bounded_by_documents(spark):
+    """3,000 rows of one doc_id are one document; the least text of them is learned from."""
+    docs = spark.createDataFrame([(1, f"text {i:04d}") for i in range(3000)] + [(2, None), (3, "c"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality_classifier.training_rows(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted(((r.text, r.y) for r in rows), key=str) == [("c", 0), ("text 0000", 1), (None, 0)]
+    assert quality_classifier.training_rows(docs, labels, "quality", F.lit(True), 2).count() == 2
+
+
+def test_prefix_sums_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 3)
+    rows = [(s, k, (k * 7 + s) % 5) for s in range(3) for k in range(20) if (k + s) % 4]
+    got = {(r.s, r.at): r.before for r in mixing.before(spark.createDataFrame(rows, "s int, at long, n long"), "at", "n").collect()}
+    assert got == {(s, k): sum(n for s2, k2, n in rows if s2 == s and k2 < k) for s, k, _ in rows}
+
+
+def test_scores_match_the_dense_formulas():
+    """Both models' scores against their formulas written out, pair by pair."""
+    rng = np.random.default_rng(5)
+    m = toxicity.FactorizationMachine(np.arange(6) * 10, -0.7, rng.normal(size=6), rng.normal(size=(6, toxicity.RANK)))
+    sets = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    docs, ids = np.repeat(np.arange(4), [len(x) for x in sets]), np.concatenate([np.array(x, int) for x in sets])
+    want = [m.bias + sum(m.w[i] for i in x) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(x) for j in x[k + 1 :]) for x in sets]
+    assert np.allclose(m.margins(docs, ids, 4), want)
+    x = rng.normal(size=(7, 4))
+    r = quality_classifier.PairwiseRanker(x.mean(0), x.std(0), rng.normal(size=4), 0.3, 1.7)
+    raw = [sum(w * min(max((a - mu) / sd, -8), 8) for a, mu, sd, w in zip(row, r.mean, r.scale, r.weights)) for row in x]
+    assert np.allclose(r.score(x, 0.7), [1 / (1 + np.exp(-((z - 0.3) * 1.7 + np.log(0.7 / 0.3)))) for z in raw])
