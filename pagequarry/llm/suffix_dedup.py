@@ -134,9 +134,15 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
         doc, first, last, a, g, whole = sampled(data, offs, width, gram)
         same = mix64(g.view(np.uint64)) ^ whole.view(np.uint64)
         key = part.column("key").to_numpy()
-        twice, later = (np.zeros(len(doc), bool),) * 2 if across else K.repeated(same)
+        if across:  # successive windows that are equal, as in a stutter, are one row
+            twice, keep = np.zeros(len(doc), bool), np.ones(len(doc), bool)
+            keep[1:] = (same[1:] != same[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)
+            more = np.diff(np.append(np.flatnonzero(keep), len(keep))) - 1
+        else:
+            twice, later = K.repeated(same)
+            keep = ~later
+            more = np.zeros(int(keep.sum()), np.int64)
         d, s, e = merged(doc[twice], first[twice], last[twice] + width)
-        keep = ~later
         n1, n2 = int(keep.sum()), len(d)
         i32 = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int32))
         at, at2 = offs[doc[keep]], offs[d]
@@ -144,10 +150,10 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
         return pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([key[doc[keep]], key[d]])), i32(1 + twice[keep], np.full(n2, 2)),
             pa.array(np.concatenate([g[keep], np.zeros(n2, np.int64)]), mask=none), pa.array(np.concatenate([whole[keep], np.zeros(n2, np.int64)]), mask=none),
-            i32(first[keep] - at, s - at2), i32(last[keep] - at, e - width - at2), i32(a[keep] - at, s - at2),
-        ], ["key", "n", "gram", "whole", "first", "last", "suffix"])
+            i32(first[keep] - at, s - at2), i32(last[keep] - at, e - width - at2), i32(a[keep] - at, s - at2), i32(more, np.zeros(n2, np.int64)),
+        ], ["key", "n", "gram", "whole", "first", "last", "suffix", "more"])
 
-    t = settle(map_text(docs, sample, "key long, n int, gram long, whole long, first int, last int, suffix int"), f"suffixes-{unit}")
+    t = settle(map_text(docs, sample, "key long, n int, gram long, whole long, first int, last int, suffix int, more int"), f"suffixes-{unit}")
     known = t.where("gram IS NULL").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
     rows = t.where("gram IS NOT NULL").withColumns({"lo": F.col("key"), "hi": F.col("key")} if across else {})
     # first digit
@@ -157,7 +163,7 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
     member = F.struct("key", "first", "last", "suffix")
     groups = settle(t1.groupBy("gram", "whole").agg(*total, F.min(member).alias("m")), "suffixes-2")
     full = groups.where(many).select("gram", "whole")
-    spans = t1.join(full, ["gram", "whole"], "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
+    spans = t1.join(full, ["gram", "whole"], "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + F.col("more") + width).alias("stop"))
     # the remaining digits, for one member of each group
     kinds = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     ragged = groups.join(kinds, "gram").select("gram", "whole", *(tally if across else [F.least("n", F.lit(2)).cast("int").alias("n")]), "members", "m.*")
@@ -214,7 +220,8 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
     common = rows.groupBy("gram", "d", "h").agg(*total).where(many).select("gram", "d", "h")
     large = rows.where(~many).join(common, ["gram", "d", "h"], "left_semi").select("gram", "whole", "start", (F.col("start") + width).alias("stop"))
     # what holds for the member holds at the same distances for all of its group
-    hits = small.unionByName(large).join(t1.select("gram", "whole", "key", "first"), ["gram", "whole"]).select("key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
+    hits = small.unionByName(large).join(t1.select("gram", "whole", "key", "first", "more"), ["gram", "whole"])
+    hits = hits.select("key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("more") + F.col("stop")).alias("stop"))
     every = known.unionByName(spans).unionByName(hits)
     out = settle(every.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffixes-spans")  # of one text
     discard(t, t1, groups, by_doc, pieces)
