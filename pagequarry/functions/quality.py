@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -21,6 +22,8 @@ SOFT_BLOCKS = (
 #: Ids and tags of application shells.
 SHELL_IDS = ("root", "__next", "app", "__nuxt", "svelte")
 SHELL_TAGS = ("app-root",)
+#: What is taken as it is, beside HTML.
+DIRECT = ("application/json", "application/xml", "text/xml", "text/plain", "application/pdf", "application/x-pdf")
 REACHABLE = ("success", "extraction_failed", "pdf_tooling_missing")
 CATEGORIES = (
     "success", "robots_blocked", "spa_shell", "soft_block", "follow_failed", "parked_domain", "dns_failure", "connection_refused", "tls_error", "timeout",
@@ -63,18 +66,26 @@ def soft_block(body: Column | str, limit: int = Checker.soft_block_bytes) -> Col
     return F.when(F.octet_length(col(body)) <= limit, out)
 
 
+def maybe_shell(body: Column | str) -> Column:
+    """Whether a known mount point occurs at all; only then is it worth parsing the page for its emptiness."""
+    ids, tags = "|".join(map(re.escape, SHELL_IDS)), "|".join(SHELL_TAGS)
+    return col(body).rlike(rf"(?i:\sid\s*=)\s*[\"']?\s*({ids})|(?i:<({tags}))")
+
+
 def spa_shell(body: Column | str) -> Column:
-    """An application shell: a known mount point with neither text nor elements in it."""
-    ids, tags = "|".join(SHELL_IDS), "|".join(SHELL_TAGS)
+    """An application shell: a known mount point with neither text nor elements in it, comments apart. Without a
+    parser: the first of several, or one that is never closed, may be taken wrongly; html.extract.is_shell reads
+    the tree."""
+    ids, tags, empty = "|".join(SHELL_IDS), "|".join(SHELL_TAGS), r">(\s|<!--(?s:.*?)-->)*</"
     b = col(body)
-    return b.rlike(rf"(?i)<([a-z][a-z0-9-]*)(\s[^>]*)?\sid\s*=\s*[\"']?({ids})[\"']?(\s[^>]*)?>\s*</") | b.rlike(rf"(?i)<({tags})(\s[^>]*)?>\s*</")
+    return b.rlike(rf"<(?i:[a-z][a-z0-9-]*(\s[^>]*)?\sid\s*=\s*)[\"']?({ids})[\"']?(\s[^>]*)?{empty}") | b.rlike(rf"(?i:<({tags}))(\s[^>]*)?{empty}")
 
 
 def http_reason(status: Column) -> Column:
     return F.when(status == 0, "no response").otherwise(F.concat(F.lit("http "), status.cast("string")))
 
 
-def validity(status: Column | str, content_type: Column | str, body: Column | str, checker: Checker = Checker(), shell: Column | None = None, missed: Column | None = None, block: Column | None = None) -> Column:
+def validity(status: Column | str, content_type: Column | str, body: Column | str, checker: Checker = Checker(), shell: Column | None = None, missed: Column | None = None, block: Column | None = None, field: str = "") -> Column:
     """struct(valid, reason, escalate, vendor, marker): status, type, size, wall, shell, then required selectors.
 
     shell and missed (the first required selector that matches nothing) may come from a parsed document; block
@@ -85,15 +96,18 @@ def validity(status: Column | str, content_type: Column | str, body: Column | st
     def result(valid: bool, reason: Column | str, escalate: bool, block: Column | None = None) -> Column:
         text = F.lit(reason) if isinstance(reason, str) else reason
         vendor, marker = (block["vendor"], block["marker"]) if block is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
-        return F.struct(F.lit(valid).alias("valid"), text.alias("reason"), F.lit(escalate).alias("escalate"), vendor.alias("vendor"), marker.alias("marker"))
+        fields = {"valid": F.lit(valid), "reason": text, "escalate": F.lit(escalate), "vendor": vendor, "marker": marker}
+        return fields[field] if field else F.struct(*[c.alias(n) for n, c in fields.items()])
 
     ok = (st >= 200) & (st < 300)
-    out = F.when(~ok & ((st == 429) | (st >= 500)), result(False, http_reason(st), True))
+    out = F.when(~ok & ((st == 429) | st.between(500, 599)), result(False, http_reason(st), True))
     out = out.when(~ok & (st >= 400), result(False, http_reason(st), False))
     out = out.when(~ok, result(False, http_reason(st), True))
-    plain = low.contains("json") | low.contains("xml") & ~low.contains("xhtml") | low.contains("text/plain") | low.contains("application/pdf")
-    out = out.when(~is_html(low) & plain, result(True, "", False))
-    out = out.when(~is_html(low), result(False, F.concat(F.lit("unsupported content-type: "), ct), False))
+    direct = F.lit(False)
+    for kind in DIRECT:
+        direct = direct | low.contains(kind)
+    out = out.when(~is_html(low) & direct, result(True, "", False))
+    out = out.when(~is_html(low), result(False, F.concat(F.lit("unsupported content-type: "), low), False))
     out = out.when(F.octet_length(b) < checker.min_bytes, result(False, "body below threshold", True))
     if checker.detect_soft_blocks:
         block = soft_block(b, checker.soft_block_bytes) if block is None else block

@@ -6,7 +6,8 @@ that an ended block leaves open and that are opened again in the next one."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,22 +30,70 @@ class Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
 
     def walk(self) -> Iterator[Node]:
-        """Elements below, in document order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """Elements below, in document order, however deep."""
+        todo = [iter(self.children)]
+        while todo:
+            for c in todo[-1]:
+                if isinstance(c, Node):
+                    yield c
+                    todo.append(iter(c.children))
+                    break
+            else:
+                todo.pop()
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, todo = [], [iter(self.children)]
+        while todo:
+            for c in todo[-1]:
+                if isinstance(c, str):
+                    out.append(c)
+                else:
+                    todo.append(iter(c.children))
+                    break
+            else:
+                todo.pop()
+        return "".join(out)
 
     def get(self, name: str) -> str | None:
         return self.attrs.get(name)
 
 
+def unroll(step: Generator) -> object:
+    """Result of a recursive generator that yields a generator for each call: the stack is a list, so depth has no limit."""
+    stack, value = [step], None
+    while stack:
+        try:
+            call = stack[-1].send(value)
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+        else:
+            stack.append(call)
+            value = None
+    return value
+
+
+class _Open(list):
+    """The open elements, with how many there are of each tag."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.count = Counter(n.tag for n in nodes)
+
+    def append(self, n: Node) -> None:
+        super().append(n)
+        self.count[n.tag] += 1
+
+    def cut(self, k: int) -> list[Node]:
+        gone = self[k:]
+        del self[k:]
+        self.count.subtract(n.tag for n in gone)
+        return gone
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -52,7 +101,7 @@ class _Builder(HTMLParser):
         self.html: Node | None = None
         self.head: Node | None = None
         self.body: Node | None = None
-        self.open: list[Node] = [self.root]
+        self.open = _Open([self.root])
         self.again: list[Node] = []
 
     def _into_body(self) -> None:
@@ -62,7 +111,7 @@ class _Builder(HTMLParser):
         if self.body is None:
             self.body = Node("body", parent=self.html)
             self.html.children.append(self.body)
-            self.open = [self.root, self.html, self.body]
+            self.open = _Open([self.root, self.html, self.body])
 
     def _into_head(self) -> None:
         if self.html is None:
@@ -71,7 +120,7 @@ class _Builder(HTMLParser):
         if self.head is None:
             self.head = Node("head", parent=self.html)
             self.html.children.append(self.head)
-        self.open = [self.root, self.html, self.head]
+        self.open = _Open([self.root, self.html, self.head])
 
     def _add(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs, self.open[-1])
@@ -84,17 +133,18 @@ class _Builder(HTMLParser):
         self.again = []
 
     def _pop_to(self, k: int) -> None:
-        left = [n for n in self.open[k + 1 :] if n.tag in FORMATTING]
-        self.again += [n for n in left if all(n.tag != m.tag for m in self.again)]
-        del self.open[k:]
+        for n in self.open.cut(k)[1:]:
+            if n.tag in FORMATTING and all(n.tag != m.tag for m in self.again):
+                self.again.append(n)
 
     def _end_open(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, 2, -1):
+        k = len(self.open) - 1
+        while k > 2 and any(self.open.count[t] > 0 for t in tags):
             if self.open[k].tag in stops:
                 return
             if self.open[k].tag in tags:
                 self._pop_to(k)
-                return self._end_open(tags, stops)
+            k -= 1
 
     def handle_starttag(self, tag, attrs):
         given: dict[str, str] = {}
@@ -107,7 +157,7 @@ class _Builder(HTMLParser):
             else:
                 self.html.attrs = {**given, **self.html.attrs}
             if self.body is None and self.head is None:
-                self.open = [self.root, self.html]
+                self.open = _Open([self.root, self.html])
             return
         if tag == "head":
             if self.body is None:
@@ -136,21 +186,20 @@ class _Builder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("path", "circle", "rect", "use", "svg", "line", "polygon"):
-            self.open.pop()
+            self.open.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag in ("html", "body") or tag in VOID:
             return
         if tag == "head":
             if self.body is None and self.html is not None:
-                self.open = [self.root, self.html]
+                self.open = _Open([self.root, self.html])
             return
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.open.count[tag] > 0 else ():
             node = self.open[k]
             if node.tag == tag and node is not self.body:
                 if tag in FORMATTING:
-                    del self.open[k]
-                    self.open[k:] = []
+                    self.open.cut(k)
                 else:
                     self._pop_to(k)
                 return

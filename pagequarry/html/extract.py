@@ -118,7 +118,7 @@ def all_links(doc: Node, base: str, same_domain: bool = False) -> list[str]:
 def _jsonld(doc: Node) -> list[str]:
     out = []
     for n in doc.walk():
-        if n.tag == "script" and (n.get("type") or "").lower() == "application/ld+json":
+        if n.tag == "script" and n.get("type") == "application/ld+json":
             try:
                 out.append(json.dumps(json.loads(n.text()), sort_keys=True, ensure_ascii=False, separators=(",", ":")))
             except ValueError:
@@ -127,38 +127,45 @@ def _jsonld(doc: Node) -> list[str]:
 
 
 def metadata(doc: Node, base: str) -> dict[str, object]:
-    """title, description, canonical, language, published (the first candidate text of each source), open_graph, twitter, json_ld."""
-    names: dict[str, str] = {}
+    """title, description, canonical, language, published (the first candidate text of each source), open_graph,
+    twitter, json_ld. Of several tags for one value the first counts, in the two maps the last that isn't empty;
+    og: is read from property, twitter: from name, both as written, other names whatever their case."""
     props: dict[str, str] = {}
-    og: dict[str, str] = {}
-    tw: dict[str, str] = {}
+    names: dict[str, str] = {}
+    maps: dict[str, dict[str, str]] = {"og:": {}, "twitter:": {}}
     for n in doc.walk():
         if n.tag != "meta":
             continue
-        content = (n.get("content") or "").strip()
-        prop, name = (n.get("property") or "").strip(), (n.get("name") or "").strip()
-        if name and content:
-            names.setdefault(name.lower(), content)
-        if prop and content:
-            props.setdefault(prop, content)
-        for key in (prop, name):
-            if content and key.startswith("og:") and key is prop:
-                og[key[3:]] = content
-            if content and key.startswith("twitter:"):
-                tw[key[8:]] = content
-    title = find(doc, "title")
-    page = find(doc, "html")
-    link = next((n for n in doc.walk() if n.tag == "link" and (n.get("rel") or "").lower() == "canonical" and (n.get("href") or "").strip()), None)
+        content = n.get("content")
+        value = (content or "").strip()
+        for kind, held, prefix in (("property", props, "og:"), ("name", names, "twitter:")):
+            key = n.get(kind)
+            if key is None:
+                continue
+            held.setdefault(key if kind == "property" else key.lower(), value)
+            if key.startswith(prefix) and value:
+                maps[prefix][key.removeprefix(prefix)] = value
+    title, page = find(doc, "title"), find(doc, "html")
+    link = next((n for n in doc.walk() if n.tag == "link" and n.get("rel") == "canonical"), None)
+    href = (link.get("href") or "").strip() if link else ""
+    prop, name = (lambda k: props.get(k, "")), (lambda k: names.get(k, ""))
+    dates = (prop("article:published_time"), prop("og:published_time"), name("pubdate"), name("date"), name("dc.date"))
     return {
-        "title": og.get("title") or (title.text().strip() if title else ""),
-        "description": og.get("description") or tw.get("description") or names.get("description", ""),
-        "canonical": _escaped(urljoin(base, link.get("href").strip())) if link else "",
-        "language": ((page.get("lang") or "").strip() if page else "") or og.get("locale", ""),
-        "published": [x for x in (props.get("article:published_time"), props.get("og:published_time"), names.get("pubdate"), names.get("date"), names.get("dc.date")) if x],
-        "open_graph": og, "twitter": tw, "json_ld": _jsonld(doc),
+        "title": prop("og:title") or (title.text().strip() if title else ""),
+        "description": prop("og:description") or name("twitter:description") or name("description"),
+        "canonical": _absolute(base, href) if href else "",
+        "language": ((page.get("lang") or "").strip() if page else "") or prop("og:locale"),
+        "published": [x for x in dates if x], "open_graph": maps["og:"], "twitter": maps["twitter:"], "json_ld": _jsonld(doc),
     }
 
 
+def _absolute(base: str, href: str) -> str:
+    try:
+        return _escaped(urljoin(base, href))
+    except ValueError:
+        return href
+
+
 def is_shell(doc: Node) -> bool:
     for selector in (*(f"#{i}" for i in SHELL_IDS), *SHELL_TAGS):
         found = find_all(doc, selector)

@@ -38,12 +38,29 @@ def parse_robots(docs: DataFrame, agent: str = "*") -> DataFrame:
     return rows.where("k <> 'user-agent' AND v <> ''").join(chosen, ["host", "g"]).select("host", F.col("k").alias("type"), F.col("v").alias("path"), "n")
 
 
+def rule_pattern(path: Column) -> Column:
+    """What a rule's path stands for: a regular expression where it has ``*`` or ``$``, else null (it is a prefix)."""
+    quoted = F.regexp_replace(path, r"([\\.+?()|\[\]{}^])", r"\\$1")
+    return F.when(path.rlike(r"[*$]"), F.replace(quoted, F.lit("*"), F.lit(".*")))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, host) with allowed: the longest rule that begins the path decides, allow on a tie; the query doesn't count."""
-    path = F.when(part(F.col("url"), 3) == "", "/").otherwise(part(F.col("url"), 3))
-    met = urls.select("url", "host", path.alias("__p")).join(rules.select("host", "type", F.col("path").alias("__r")), "host").where(F.startswith("__p", "__r"))
-    best = met.groupBy("url").agg(F.max(F.struct(F.length("__r").alias("n"), (F.col("type") == "allow").cast("int").alias("ok"))).alias("b"))
-    return urls.join(best, "url", "left").withColumn("allowed", F.coalesce(F.col("b.ok") == 1, F.lit(True))).drop("b")
+    """urls (url, host) with allowed. The longest rule that fits the path decides, of equals the first in the file; a
+    pattern is as long as its expression. Only the path counts, decoded and without the query.
+
+    rules: host, type, path and, if the order matters, n. A path that begins with neither / nor * gets a /; stars at
+    its end say nothing; ``*`` stands for any characters and ``$`` for the end."""
+    raw = F.when(part(F.col("url"), 3) == "", "/").otherwise(part(F.col("url"), 3))
+    path = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    given = F.when(F.col("path").rlike(r"^[/*]"), F.col("path")).otherwise(F.concat(F.lit("/"), "path"))
+    n = F.col("n") if "n" in rules.columns else F.lit(0)
+    r = rules.where("path <> ''").select("host", "type", n.alias("__n"), F.regexp_replace(given, r"[*]+$", "").alias("__r"))
+    r = r.withColumn("__x", rule_pattern(F.col("__r")))
+    fits = F.when(F.col("__x").isNull(), F.startswith("__p", "__r")).otherwise(F.rlike("__p", "__x"))
+    met = urls.select("url", "host", path.alias("__p")).join(r, "host").where(fits)
+    size = F.length(F.coalesce("__x", "__r"))
+    best = met.groupBy("url").agg(F.min(F.struct((-size).alias("size"), F.col("__n"), (F.col("type") != "allow").alias("no"))).alias("b"))
+    return urls.join(best, "url", "left").withColumn("allowed", ~F.coalesce(F.col("b.no"), F.lit(False))).drop("b")
 
 
 def sitemap_directives(docs: DataFrame) -> DataFrame:

@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.functions.quality import Checker, classify_failure, rotate_proxy, soft_block, validity
+from pagequarry.functions.quality import Checker, classify_failure, is_html, maybe_shell, rotate_proxy, soft_block, validity
 from pagequarry.functions.urls import host_of
+from pagequarry.html.functions import parse_page
 
 
 def check_attempts(attempts: DataFrame, checker: Checker = Checker(), shell: Column | None = None, missed: Column | None = None, rotate_codes: Sequence[int] = ()) -> DataFrame:
     """attempts with valid, reason, escalate, vendor, marker. An error is neither valid nor a stop; a status that
-    rotates proxies always escalates."""
+    rotates proxies always escalates. Shells are found in the page's tree; only pages that name a mount point are
+    parsed for that."""
+    if shell is None and checker.detect_shells:
+        ok = F.col("status_code").between(200, 299) & is_html(F.coalesce("content_type", F.lit("")))
+        mount = F.when(ok & maybe_shell("body"), F.col("body"))
+        attempts = attempts.withColumn("__s", F.coalesce(parse_page(mount, F.lit(""), shell=True)["shell"], F.lit(False)))
+        return check_attempts(attempts, checker, F.col("__s"), missed, rotate_codes).drop("__s")
     held = attempts.withColumn("__b", F.when(F.col("status_code").between(200, 299) & (F.octet_length("body") >= checker.min_bytes), soft_block("body", checker.soft_block_bytes)))
     v = F.when(F.coalesce(F.col("error"), F.lit("")) == "", validity("status_code", "content_type", "body", checker, shell, missed, F.col("__b")))
     out = held.withColumn("__v", v)

@@ -104,7 +104,10 @@ def resolved_links(spark, d):
     return p.select("page_id", "i", urls.resolve_url(base, "ref").alias("resolved"))
 
 
-@register()
+_FNV = f"list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(range(1, length({O.host('url')}) + 1), lambda i: CAST(ascii(substr({O.host('url')}, CAST(i AS BIGINT), 1)) AS HUGEINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296)"
+
+
+@register(f"SELECT page_id, CAST(fnv AS BIGINT) AS fnv, CAST(fnv % 7 AS INTEGER) AS slot FROM (SELECT page_id, {_FNV} AS fnv FROM pages) p")
 def proxy_pool(spark, d):
     return _pages(spark, d).select("page_id", urls.fnv1a_32(urls.url_host("url")).alias("fnv"), urls.pool_index(urls.url_host("url"), 7).alias("slot"))
 
@@ -399,10 +402,15 @@ def host_rule_match(spark, d):
     return politeness.host_rules(hosts, spark_input(spark, d, I.HOST_RULES)).select("host", "rule_idx", "rate", "concurrency")
 
 
-_ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /de/ # german\nAllow: /de/6\nDisallow: /fr/1\nSitemap: https://x.org/sitemap.xml\n"
+_ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /de/ # german\nAllow: /de/6\nDisallow: fr/1\nDisallow: /*.html$\nAllow: /en/4*.html\nDisallow: /es/*5/*\nDisallow: /en/7\nAllow: /en/7\nSitemap: https://x.org/sitemap.xml\n"
+
 
+# a pattern is longer than the plain rules here; of equal rules the first counts
+_BARRED = """CASE WHEN regexp_matches(p, '^/en/4.*[.]html') THEN false WHEN regexp_matches(p, '[.]html$') THEN true WHEN regexp_matches(p, '/es/.*5/') THEN true
+  WHEN starts_with(p, '/de/6') THEN false ELSE starts_with(p, '/de/') OR starts_with(p, '/fr/1') OR starts_with(p, '/en/7') END"""
 
-@register(f"SELECT page_id, NOT ((starts_with(p, '/de/') AND NOT starts_with(p, '/de/6')) OR starts_with(p, '/fr/1')) OR ends_with(h, '.com') AS allowed FROM (SELECT page_id, {O.host('url')} AS h, {O.part('url', 3)} AS p FROM pages) q")
+
+@register(f"SELECT page_id, NOT ({_BARRED}) OR ends_with(h, '.com') AS allowed FROM (SELECT page_id, {O.host('url')} AS h, {O.part('url', 3)} AS p FROM pages) q")
 def robots_filter(spark, d):
     p = _pages(spark, d).select("page_id", "url", urls.url_host("url").alias("host"))
     files = p.select("host").distinct().select("host", F.when(F.col("host").endswith(".com"), 404).otherwise(200).alias("status"), F.lit(_ROBOTS).alias("body"))
@@ -523,11 +531,15 @@ def published_at(spark, d):
 _META = duck(I.META_PAGES)
 
 
+def _pairs(column):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
 @register(f"""SELECT page_id, concat('OG ', page_id) AS title, CASE WHEN page_id % 3 = 0 THEN 'From og' ELSE concat('About ', page_id) END AS description, concat(regexp_extract(url, '^([^/]*//[^/?#]*)', 1), '/c/', page_id) AS canonical,
-  CASE page_id % 4 WHEN 0 THEN TIMESTAMP '2024-03-01 10:00:00' WHEN 1 THEN TIMESTAMP '2023-07-09 00:00:00' WHEN 2 THEN TIMESTAMP '2022-01-02 03:04:05' END AS published_at, concat('{{"@id":', page_id, '}}') AS json_ld, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS n_og FROM pages""".replace("{{", "{").replace("}}", "}"))
+  CASE page_id % 4 WHEN 0 THEN TIMESTAMP '2024-03-01 10:00:00' WHEN 1 THEN TIMESTAMP '2023-07-09 00:00:00' WHEN 2 THEN TIMESTAMP '2022-01-02 03:04:05' END AS published_at, concat('{{"@id":', page_id, '}}') AS json_ld, CASE WHEN page_id % 3 = 0 THEN 'description=From og;title=Later' ELSE 'title=Later' END AS og, concat('card=c', page_id % 3) AS twitter FROM pages""".replace("{{", "{").replace("}}", "}"))
 def page_meta(spark, d):
     p = spark_input(spark, d, I.META_PAGES).withColumn("m", page_metadata("html", "url"))
-    return p.select("page_id", "m.title", "m.description", "m.canonical", "m.published_at", F.array_join("m.json_ld", "\n").alias("json_ld"), F.size("m.open_graph").alias("n_og"))
+    return p.select("page_id", "m.title", "m.description", "m.canonical", "m.published_at", F.array_join("m.json_ld", "\n").alias("json_ld"), _pairs("m.open_graph").alias("og"), _pairs("m.twitter").alias("twitter"))
 
 
 @register()

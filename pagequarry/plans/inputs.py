@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("documents", "events", "pages", "orders", "customer", "nation", "region", "supplier", "part", "lineitem", "conversations", "labels", "benchmark")
 
 ATTEMPTS = """SELECT page_id, url, 'http' AS tier, 0 AS ord,
-  CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 429 WHEN 3 THEN 0 WHEN 4 THEN 403 WHEN 5 THEN 301 ELSE 200 END AS status_code,
-  CASE page_id % 17 WHEN 5 THEN 'application/json' WHEN 6 THEN 'image/png' WHEN 7 THEN '' WHEN 8 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+  CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 429 WHEN 3 THEN 0 WHEN 4 THEN 403 WHEN 5 THEN 301 WHEN 6 THEN 600 ELSE 200 END AS status_code,
+  CASE page_id % 17 WHEN 5 THEN 'application/json' WHEN 6 THEN 'Image/PNG' WHEN 7 THEN '' WHEN 8 THEN 'application/pdf' WHEN 9 THEN 'application/x-pdf' WHEN 10 THEN 'image/svg+xml'
+    WHEN 11 THEN 'application/ld+json' WHEN 12 THEN 'Application/XHTML+xml' WHEN 13 THEN 'TEXT/XML' WHEN 14 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS content_type,
   CASE page_id % 13
     WHEN 7 THEN concat('<html><body><div id="root"></div><!--', repeat('x', 600), '--></body></html>')
-    WHEN 8 THEN concat('<html><title>Just a moment...</title><div id="cf-chl-widget"></div>', repeat('x', 600), '</html>')
+    WHEN 8 THEN concat('<html><head><title>Please wait</title></head><body class="cf-chl">', repeat('x', 600), '</body></html>')
     WHEN 9 THEN '<html>tiny</html>'
     WHEN 10 THEN concat('<html><h1>Access Denied</h1>', repeat('x', 600), '</html>')
+    WHEN 11 THEN concat('<html><body><main id="app"> <!-- soon > --> </main><!--', repeat('x', 600), '--></body></html>')
+    WHEN 12 THEN concat('<html><body><div id="Root"></div><p>', repeat('x', 600), '</p></body></html>')
     ELSE html END AS body,
   CASE page_id % 120 WHEN 3 THEN 'dial tcp: lookup x: no such host' WHEN 23 THEN 'connect: connection refused' WHEN 43 THEN 'x509: certificate has expired'
     WHEN 63 THEN 'x509: certificate is valid for *.wpengine.com' WHEN 83 THEN 'context deadline exceeded' WHEN 103 THEN 'something weird happened' END AS error,
@@ -64,7 +67,7 @@ UNION ALL SELECT 'https://x.org/a.xml', '<urlset xmlns="http://www.sitemaps.org/
 UNION ALL SELECT 'https://x.org/b.xml', '<urlset><url><loc>https://x.org/2</loc></url><url><loc>https://x.org/3</loc></url></urlset>'
 UNION ALL SELECT 'https://x.org/unused.xml', '<urlset><url><loc>https://x.org/9</loc></url></urlset>'"""
 
-META_PAGES = """SELECT page_id, url, replace(html, '<meta charset="utf-8">', concat('<meta charset="utf-8"><meta property="og:title" content="OG ', page_id, '"><meta name="Description" content=" About ', page_id, ' ">',
+META_PAGES = """SELECT page_id, url, replace(html, '<meta charset="utf-8">', concat('<meta charset="utf-8"><meta property="og:title" content="OG ', page_id, '"><meta property="og:title" content="Later"><meta property="twitter:site" content="@p"><meta name="twitter:card" content="c', page_id % 3, '"><meta name="Description" content=" About ', page_id, ' ">',
   CASE WHEN page_id % 3 = 0 THEN '<meta property="og:description" content="From og">' ELSE '' END, '<link rel="canonical" href="/c/', page_id, '">',
   CASE page_id % 4 WHEN 0 THEN '<meta property="article:published_time" content="2024-03-01T10:00:00Z">' WHEN 1 THEN '<meta name="date" content="2023-07-09">' WHEN 2 THEN '<meta name="DC.date" content="2022-01-02 03:04:05">' ELSE '<meta name="pubdate" content="garbage">' END,
   '<script type="application/ld+json">{{"@id": ', page_id, '}}</script><script type="application/ld+json">{{bad</script>')) AS html FROM {pages}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pagequarry.functions.quality import REACHABLE, SHELL_IDS, SHELL_TAGS, SOFT_BLOCKS
+from pagequarry.functions.quality import REACHABLE, SOFT_BLOCKS
 from pagequarry.functions.urls import PARTS, TRACKING
 
 
@@ -45,8 +45,8 @@ def soft_block(body: str, what: str) -> str:
 
 
 def shell(body: str) -> str:
-    ids, tags = "|".join(SHELL_IDS), "|".join(SHELL_TAGS)
-    return f"(regexp_matches({body}, '(?i)<([a-z][a-z0-9-]*)(\\s[^>]*)?\\sid\\s*=\\s*[\"'']?({ids})[\"'']?(\\s[^>]*)?>\\s*</') OR regexp_matches({body}, '(?i)<({tags})(\\s[^>]*)?>\\s*</'))"
+    empty = ">(\\s|<!--[\\s\\S]*?-->)*</"
+    return f"(regexp_matches({body}, '<(?i:[a-z][a-z0-9-]*(\\s[^>]*)?\\sid\\s*=\\s*)[\"'']?(root|__next|app|__nuxt|svelte)[\"'']?(\\s[^>]*)?{empty}') OR regexp_matches({body}, '(?i:<app-root)(\\s[^>]*)?{empty}'))"
 
 
 def html(ct: str) -> str:
@@ -55,15 +55,15 @@ def html(ct: str) -> str:
 
 def checked(attempts: str) -> str:
     """attempts with reason, valid, escalate, vendor, marker."""
-    plain = "(contains(lower(content_type), 'json') OR contains(lower(content_type), 'xml') OR contains(lower(content_type), 'text/plain') OR contains(lower(content_type), 'application/pdf'))"
+    plain = "regexp_matches(lower(content_type), 'application/json|application/xml|text/xml|text/plain|application/pdf|application/x-pdf')"
     return f"""SELECT *, verdict = '' AS valid, CASE WHEN failed THEN '' ELSE CASE WHEN verdict = '' THEN '' ELSE substr(verdict, 2) END END AS reason,
   failed OR (verdict <> '' AND verdict[1] = '+') AS escalate
 FROM (SELECT *, coalesce(error, '') <> '' AS failed, CASE
   WHEN coalesce(error, '') <> '' THEN '+'
   WHEN status_code = 0 THEN '+no response'
-  WHEN NOT (status_code >= 200 AND status_code < 300) THEN concat(CASE WHEN status_code = 429 OR status_code >= 500 OR status_code < 400 THEN '+' ELSE '-' END, 'http ', status_code)
+  WHEN NOT (status_code >= 200 AND status_code < 300) THEN concat(CASE WHEN status_code = 429 OR status_code BETWEEN 500 AND 599 OR status_code < 400 THEN '+' ELSE '-' END, 'http ', status_code)
   WHEN NOT {html("content_type")} AND {plain} THEN ''
-  WHEN NOT {html("content_type")} THEN concat('-unsupported content-type: ', content_type)
+  WHEN NOT {html("content_type")} THEN concat('-unsupported content-type: ', lower(content_type))
   WHEN strlen(body) < 512 THEN '+body below threshold'
   WHEN {soft_block("body", "vendor")} IS NOT NULL THEN concat('+soft block: ', {soft_block("body", "vendor")}, '/', {soft_block("body", "marker")})
   WHEN {shell("body")} THEN '+spa shell detected' ELSE '' END AS verdict FROM ({attempts}) a0) a1"""

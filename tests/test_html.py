@@ -90,12 +90,31 @@ META = """<html lang="en"><head><title> T </title><meta property="og:title" cont
 def test_metadata():
     m = extract.metadata(parse(META), "https://e.com/x")
     assert (m["title"], m["description"], m["canonical"], m["language"]) == ("OG", "TD", "https://e.com/c", "en")
-    assert m["twitter"] == {"card": "s", "description": "TD"} and m["open_graph"] == {"title": "OG"}
+    assert m["twitter"] == {"description": "TD"} and m["open_graph"] == {"title": "OG"}  # twitter: is read from name alone
     assert m["published"] == ["2024-01-02T03:04:05Z"] and m["json_ld"] == ['{"a":[2],"b":1}']
     bare = extract.metadata(parse("<title>x</title>"), "https://e.com/")
     assert (bare["title"], bare["canonical"], bare["json_ld"]) == ("x", "", [])
 
 
+def test_of_several_tags_the_first_counts():
+    page = """<meta property="og:title" content="First"><meta property="og:title" content="Second"><meta name="description" content=" "><meta name="description" content="late"><title>T</title>
+    <meta property="twitter:description" content="no"><link rel="Canonical" href="/no"><link rel="canonical" href="/yes"><script type="Application/LD+JSON">{"a":1}</script>"""
+    m = extract.metadata(parse(page), "https://e.com/")
+    assert (m["title"], m["description"], m["canonical"], m["open_graph"]["title"], m["json_ld"]) == ("First", "", "https://e.com/yes", "Second", [])
+    assert extract.metadata(parse('<title>T</title><meta property="og:title" content=" ">'), "")["title"] == "T"
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "b", "a", "blockquote", "p", "ul><li", "table><tr><td"])
+def test_deep_pages_do_no_harm(tag):
+    n = 100_000 if tag in ("div", "p") else 3000
+    tags = tag.split("><")
+    page = "<title>t</title>" + ("<" + "><".join(tags) + ">") * n + "some words in the midst of it, and some more" + "".join(f"</{t}>" for t in reversed(tags)) * n
+    doc = parse(page)
+    assert "some words" in doc.text() and "some words" in render.to_html(doc) and "some words" in render.to_markdown(doc, "https://e.com/")
+    assert extract.all_links(doc, "https://e.com/") == [] and extract.metadata(doc, "")["title"] == "t" and not extract.is_shell(doc)
+    assert "some words" in render.readable(doc, page)
+
+
 def test_shells_and_required():
     assert extract.is_shell(parse('<div id="app"> <!-- c --> </div>')) and extract.is_shell(parse("<app-root></app-root>"))
     assert not extract.is_shell(parse('<div id="app"><p></p></div>')) and not extract.is_shell(parse('<div id="app">x</div>'))
@@ -116,6 +135,25 @@ def test_readable():
     assert render.readable(parse("<p>x</p>"), "<p>x</p>") == "<p>x</p>"
 
 
+def test_expressions_in_sql(spark):
+    """The SQL functions say what the Column functions say."""
+    from pyspark.sql import functions as F
+
+    from pagequarry.functions import quality, urls
+    from pagequarry.sql import register
+
+    assert {"canonicalize_url", "url_host", "classify_failure", "check_validity", "detect_soft_block"} <= set(register(spark))
+    wall = "<title>Just a moment...</title>" + "x" * 600
+    rows = [
+        (" HTTPS://u@E.com:443/a?b=2&a=1&utm_source=q&c#f", 200, "text/html", "x" * 600, None), ("http://[::1]:80", 429, "", "", "dial tcp: no such host"), ("nonsense", 600, None, None, "x509: bad"),
+        ("ftp://E.org:21/é?", 200, "Image/SVG+xml", "<svg/>", None), ("https://e.org", 200, "application/x-pdf", "%PDF", None), ("https://e.org/?&&", 200, "text/html", wall, "status 503"), (None, 0, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "url string, status int, ct string, body string, err string")
+    a = df.selectExpr("canonicalize_url(url) AS c", "url_host(url) AS h", "classify_failure(err, '', status) AS f", "check_validity(status, ct, body) AS v", "detect_soft_block(body) AS b")
+    b = df.select(urls.canonicalize_url("url"), urls.url_host("url"), quality.classify_failure("err", F.lit(""), "status"), quality.validity("status", "ct", "body"), quality.soft_block("body"))
+    assert list(map(tuple, a.collect())) == list(map(tuple, b.collect()))
+
+
 def test_functions_in_sql(spark):
     from pagequarry.sql import register
 
