@@ -157,19 +157,20 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
     known = t.where("gram IS NULL").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
     rows = t.where("gram IS NOT NULL").withColumns({"lo": F.col("key"), "hi": F.col("key")} if across else {})
     # first digit
-    alike = rows.groupBy("gram").agg(*total).where(many).select("gram")
-    t1 = settle(rows.join(alike, "gram", "left_semi"), "suffixes-1")
+    spark = df.sparkSession
+    alike = settle(rows.groupBy("gram").agg(*total).where(many).select("gram"), "suffixes-0")
+    t1 = settle(rows.where(bloom_hit(spark, "gram", bloom(alike))).join(alike, "gram", "left_semi"), "suffixes-1")
     # second digit
     member = F.struct("key", "first", "last", "suffix")
     groups = settle(t1.groupBy("gram", "whole").agg(*total, F.min(member).alias("m")), "suffixes-2")
     full = groups.where(many).select("gram", "whole")
     spans = t1.join(full, ["gram", "whole"], "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + F.col("more") + width).alias("stop"))
     # the remaining digits, for one member of each group
-    kinds = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    kinds = settle(groups.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffixes-kinds")
     ragged = groups.join(kinds, "gram").select("gram", "whole", *(tally if across else [F.least("n", F.lit(2)).cast("int").alias("n")]), "members", "m.*")
     by_doc = ragged.groupBy("key").agg(F.collect_list(F.struct("gram", "whole", *tally, "members", "first", "last", "suffix")).alias("parts"))  # of one text
     by_doc = settle(by_doc, "suffixes-3")
-    some = docs.where(bloom_hit(df.sparkSession, "key", bloom(by_doc.select("key")))).join(by_doc, "key")
+    some = docs.where(bloom_hit(spark, "key", bloom(by_doc.select("key")))).join(by_doc, "key")
     tallies = ", ".join(f"{c} {'long' if across else 'int'}" for c in tally)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -224,7 +225,7 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, gram: int = GRAM, group: i
     hits = hits.select("key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("more") + F.col("stop")).alias("stop"))
     every = known.unionByName(spans).unionByName(hits)
     out = settle(every.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffixes-spans")  # of one text
-    discard(t, t1, groups, by_doc, pieces)
+    discard(t, alike, t1, groups, kinds, by_doc, pieces)
     return out
 
 
