@@ -87,13 +87,17 @@ def _filled(value: object, kind: T.DataType) -> object:
     return value
 
 
-def page_metadata(html: Column | str, base: Column | str) -> Column:
-    """struct(title, description, canonical, language, published_at, open_graph, twitter, json_ld)."""
-    m = parse_page(html, base, metadata=True)["metadata"]
+def finish_metadata(m: Column) -> Column:
+    """parse_page's metadata with the first candidate that is a date as published_at."""
     tries = F.filter(F.transform(m["published"], lambda c: published_at(c)), lambda t: t.isNotNull())
     return F.struct(*[m[c].alias(c) for c in ("title", "description", "canonical", "language")], F.get(tries, F.lit(0)).alias("published_at"), *[m[c].alias(c) for c in ("open_graph", "twitter", "json_ld")])
 
 
+def page_metadata(html: Column | str, base: Column | str) -> Column:
+    """struct(title, description, canonical, language, published_at, open_graph, twitter, json_ld)."""
+    return finish_metadata(parse_page(html, base, metadata=True)["metadata"])
+
+
 def hit_stats(extracted: Column, schema: T.StructType) -> Column:
     """struct(fields, hits) of a struct of extracted fields."""
     return F.struct(F.lit(len(schema.fields)).alias("fields"), sum((F.when(extracted[f.name].isNotNull(), 1).otherwise(0) for f in schema.fields), F.lit(0)).alias("hits"))

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share. Where none is set, a local master has one of its own; on a cluster
+    that would be a folder on each machine, so there it is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
-def _held(df: DataFrame) -> DataFrame:
+def held(df: DataFrame, name: str = "crawl") -> DataFrame:
     """df cut from its lineage: a table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pagequarry-crawl-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pagequarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,7 +35,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, limit: int = 1
     stops when nothing is new."""
     cap = (lambda d, done: d.where(F.col("rank") < limit)) if limit else (lambda d, done: d)
     first = seeds.select("url").distinct().withColumn("rank", F.row_number().over(W.orderBy("url")) - 1)  # the seeds of one crawl
-    seen = _held(cap(first, 0).select("url", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("rank")))
+    seen = held(cap(first, 0).select("url", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("rank")))
     new, n = seen, seen.count()
     for depth in range(1, max_depth + 1):
         if not n or limit and n >= limit:
@@ -45,7 +49,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, limit: int = 1
         parts = found.withColumn("bucket", F.floor(F.col("at.rank") / 4096))
         offs = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).withColumn("base", F.coalesce(F.sum("k").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("k")
         ranked = parts.withColumn("i", F.row_number().over(W.partitionBy("bucket").orderBy("at"))).join(offs, "bucket")
-        new = _held(ranked.select("url", F.lit(depth).alias("depth"), (F.lit(n) + F.col("base") + F.col("i") - 1).cast("long").alias("rank")))
+        new = held(ranked.select("url", F.lit(depth).alias("depth"), (F.lit(n) + F.col("base") + F.col("i") - 1).cast("long").alias("rank")))
         k = new.count()
         if not k:
             break
@@ -83,12 +87,12 @@ def walk_sitemaps(docs: DataFrame, starts: DataFrame, max_depth: int = 3, max_ur
 
     docs: url, body. starts: url, pos. Each sitemap is read once, however often it is named; indexes go
     max_depth levels down; of more than max_urls pages the first by position stay (0: 50000)."""
-    parsed = _held(parse_sitemap(docs).select("url", "urls", "children"))
-    seen = new = _held(starts.groupBy("url").agg(F.min("pos").alias("pos")).select("url", F.lit(0).alias("depth"), F.array("pos").cast("array<bigint>").alias("path")))
+    parsed = held(parse_sitemap(docs).select("url", "urls", "children"))
+    seen = new = held(starts.groupBy("url").agg(F.min("pos").alias("pos")).select("url", F.lit(0).alias("depth"), F.array("pos").cast("array<bigint>").alias("path")))
     for depth in range(1, max_depth + 1):
         kids = new.join(parsed, "url").select("path", F.posexplode("children").alias("i", "child"))
         found = kids.groupBy(F.col("child").alias("url")).agg(F.min(F.array_append("path", F.col("i").cast("bigint"))).alias("path")).join(seen.select("url"), "url", "left_anti")
-        new = _held(found.select("url", F.lit(depth).alias("depth"), "path"))
+        new = held(found.select("url", F.lit(depth).alias("depth"), "path"))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

@@ -12,64 +12,100 @@ from pagequarry.functions import pdftext
 from pagequarry.functions.quality import is_html, is_json, is_pdf, is_reachable
 from pagequarry.functions.text import cell, has_path
 from pagequarry.functions.urls import canonicalize_url, content_hash
-from pagequarry.html.functions import hit_stats, page_metadata, parse_page
+from pagequarry.html.functions import finish_metadata, parse_page
 from pagequarry.html.spec import FieldSpec, Schema
 
+DISCOVERY = "struct<path:string,primary_url:string,fallback_url:string>"
+EVASION = "struct<browser_like:boolean,stealth:boolean,user_agent:string,jitter_ms:bigint,tls_match:string,proxy:boolean>"
+PDF = "struct<page_count:int,title:string,author:string,created_at:timestamp,has_text_layer:boolean,used_ocr:boolean,extractor_tier:string,pages:array<struct<number:int,text:string>>>"
+PAGE = {"title": "string", "description": "string", "canonical": "string", "language": "string", "published_at": "timestamp", "open_graph": "map<string,string>", "twitter": "map<string,string>", "json_ld": "array<string>"}
 #: Columns of a CSV file before the extracted ones.
 CSV_BASE = ("url", "canonical_url", "tier", "status_code", "duration_ms", "content_type", "failure_category", "error")
 
 
-def build(outcomes: DataFrame, fetched_at: Column, css: Sequence[FieldSpec] = (), schema: Schema | None = None, body_format: str = "", metadata: bool = True, readable: bool = False) -> DataFrame:
-    """Records of route.outcomes' rows. Fields and markdown come from the readable part if that is asked for;
-    metadata always from the page; where css and schema share a name, the schema's value is taken."""
-    html = F.when(is_html(F.coalesce("content_type", F.lit(""))) & F.col("valid"), F.col("body"))
-    o = outcomes.withColumn("__page", html)
-    parts = [c for c in ("css" if css else "", "schema" if schema else "", "markdown" if body_format == "markdown" else "") if c]
-    if parts:
-        o = o.withColumn("__x", parse_page("__page", "url", css=css, schema=schema, markdown=body_format == "markdown", readable=readable))
+def build(outcomes: DataFrame, fetched_at: Column, css: Sequence[FieldSpec] = (), schema: Schema | None = None, body_format: str = "", metadata: bool = True, readable: bool = False, screenshots: str = "") -> DataFrame:
+    """Records of route.outcomes' rows, each page parsed once.
+
+    Fields and markdown come from the readable part if that is asked for; metadata always from the page; where css
+    and schema share a name, the schema's value is taken. Further columns of outcomes are used where they are there:
+    seed_url (as the seed was given; url is what was fetched), final_url, redirects, discovery, evasion, from_cache,
+    screenshot (bytes), and from apply_pdf pdf, title, body_bytes, content_hash."""
+    given = dict(zip(outcomes.columns, outcomes.columns))
+    optional = lambda name, kind: F.col(given[name]) if name in given else F.lit(None).cast(kind)
+    pdf = optional("pdf", PDF)
+    ok, kind = F.col("valid"), F.coalesce("content_type", F.lit(""))
+    html = ok & is_html(kind) & pdf.isNull()
+    canonical = canonicalize_url("url")
+    o = outcomes.withColumn("__page", F.when(html, F.col("body")))
+    clean = readable and body_format == "html"
+    if css or schema or metadata or clean or body_format == "markdown":
+        o = o.withColumn("__x", parse_page("__page", canonical, css=css, schema=schema, markdown=body_format == "markdown", readable=readable, metadata=metadata))
     fields: dict[str, Column] = {f.name: F.col(f"__x.css.{f.name}") for f in css} | ({n: F.col(f"__x.schema.{n}") for n in schema.fields} if schema else {})
-    extracted = F.struct(*[c.alias(n) for n, c in fields.items()]) if fields else F.lit(None).cast("string")
-    kind = T.StructType([T.StructField(n, T.StringType()) for n in fields])
+    some = F.coalesce(*[F.when(c.isNotNull(), True) for c in fields.values()], F.lit(False)) if fields else F.lit(False)
+    extracted = F.when(some, F.struct(*[c.alias(n) for n, c in fields.items()])) if fields else F.lit(None).cast("string")
+    body = o["body"]
     if body_format == "markdown":
-        body = F.when(is_html(F.coalesce("content_type", F.lit(""))), F.col("__x.markdown")).otherwise(F.col("body"))
+        out = F.when(pdf.isNotNull() | is_json(kind), body).when(html, F.col("__x.markdown")).otherwise(body)
+        named = F.when(pdf.isNull() & is_json(kind), "json").otherwise("markdown")
     elif body_format == "html":
-        body = F.when(is_html(F.coalesce("content_type", F.lit(""))), F.col("body"))
+        out = F.when(html, F.col("__x.readable")).otherwise(body) if clean else body
+        named = F.when(pdf.isNotNull(), "markdown").otherwise("html")
     elif body_format == "json":
-        body = F.when(is_json("content_type"), F.col("body"))
+        out = (F.when(some, F.to_json(extracted)) if fields else F.when(F.lit(False), "")).when(is_json(kind), body).otherwise(F.lit("{}"))
+        named = F.lit("json")
     else:
-        body = F.lit(None).cast("string")
-    responded = F.col("body").isNotNull()
-    o = o.withColumn("__m", page_metadata("__page", "url")) if metadata else o
+        out = named = F.lit(None).cast("string")
+    out = F.when(ok, out)
+    read = finish_metadata(F.col("__x.metadata")) if metadata else None
+    page = F.when(html, read) if metadata else F.lit(None).cast("struct<title:string>")
+    if metadata and "title" in given:
+        bare = F.struct(*[(F.col("title") if n == "title" else F.lit(None).cast(t)).alias(n) for n, t in PAGE.items()])
+        page = F.when(html, read).when(F.col("title").isNotNull(), bare)
+    hits = sum((F.when(F.col(f"__x.css.{f.name}").isNotNull(), 1).otherwise(0) for f in css), F.lit(0))
+    size = F.coalesce(optional("body_bytes", "int"), F.octet_length("body"))
+    digest = F.coalesce(optional("content_hash", "string"), content_hash("body"))
     return o.select(
-        "url", canonicalize_url("url").alias("canonical_url"), fetched_at.alias("fetched_at"), "tier", "status_code", "duration_ms", F.when(responded, content_hash("body")).alias("content_hash"), extracted.alias("extracted"),
-        body.alias("body"), F.when(body.isNotNull(), F.lit(body_format)).alias("body_format"),
+        F.coalesce(optional("seed_url", "string"), "url").alias("url"), canonical.alias("canonical_url"), fetched_at.alias("fetched_at"), "tier", "status_code", "duration_ms",
+        F.when(body.isNotNull(), digest).alias("content_hash"), extracted.alias("extracted"), out.alias("body"), F.when(out.isNotNull(), named).alias("body_format"),
         F.struct(
-            "content_type", F.octet_length("body").alias("body_bytes"), F.col("url").alias("final_url"), (hit_stats(extracted, kind) if fields else F.lit(None).cast("struct<fields:int,hits:int>")).alias("extraction"),
-            (F.when(F.col("__page").isNotNull(), F.col("__m")) if metadata else F.lit(None).cast("string")).alias("page"), "soft_block",
+            "content_type", size.alias("body_bytes"), F.when(body.isNotNull(), F.coalesce(optional("final_url", "string"), "url")).alias("final_url"), optional("redirects", "array<string>").alias("redirects"),
+            (F.when(ok, F.struct(F.lit(len(css)).alias("fields"), hits.alias("hits"))) if css else F.lit(None).cast("struct<fields:int,hits:int>")).alias("extraction"),
+            optional("discovery", DISCOVERY).alias("discovery"), page.alias("page"),
+            (F.when(F.col("screenshot").isNotNull(), screenshot_path(screenshots, canonical)) if screenshots and "screenshot" in given else F.lit(None).cast("string")).alias("screenshot_path"),
+            F.coalesce(optional("from_cache", "boolean"), F.lit(False)).alias("from_cache"), optional("evasion", EVASION).alias("evasion"), "soft_block", pdf.alias("pdf"),
         ).alias("metadata"),
         "error", "failure_category",
     )
 
 
+def blocked(urls: DataFrame, like: DataFrame, fetched_at: Column, tier: str) -> DataFrame:
+    """Records, of like's columns, of URLs (url) that robots rules keep from being fetched."""
+    why = {"url": F.col("url"), "canonical_url": F.col("url"), "fetched_at": fetched_at, "tier": F.lit(tier), "status_code": F.lit(0), "duration_ms": F.lit(0), "error": F.lit("blocked by robots.txt"), "failure_category": F.lit("robots_blocked")}
+    return urls.select(*[why.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
 def apply_pdf(outcomes: DataFrame, texts: DataFrame, ocr: bool = False) -> DataFrame:
     """outcomes with the bodies of PDF answers replaced by their text, and pdf (struct) or a soft failure.
 
     texts: url, plain, layout, ocr, info (the tools' output). A PDF without text keeps its body and gets the
     category extraction_failed, or pdf_tooling_missing where no tool gave anything. The document's title is
     the page's title."""
-    t = texts.select("url", pdftext.extract("plain", "layout", "ocr" if ocr else None).alias("__t"), pdftext.info("info").alias("__i"), (F.col("plain").isNull() & F.col("layout").isNull()).alias("__none"), F.when(~pdftext.is_stub("plain"), True).otherwise(~pdftext.is_stub("layout")).alias("__layer"))
+    read = pdftext.extract("plain", "layout", "ocr" if ocr else None)
+    numbered = F.transform(pdftext.pages_of(F.when(~pdftext.is_stub("plain"), F.col("plain")).when(~pdftext.is_stub("layout"), F.col("layout")).otherwise(F.col("ocr") if ocr else F.lit(None).cast("string"))), lambda p: F.struct(p["number"].alias("number"), p["text"].alias("text")))
+    t = texts.select("url", read.withField("pages", numbered).alias("__t"), pdftext.info("info").alias("__i"), (F.col("plain").isNull() & F.col("layout").isNull()).alias("__none"), F.when(~pdftext.is_stub("plain"), True).otherwise(~pdftext.is_stub("layout")).alias("__layer"))
     j = outcomes.join(t, "url", "left")
     pdf = F.col("valid") & is_pdf(F.coalesce("content_type", F.lit("")))
     got = F.coalesce(pdf & (F.col("__t.category") == "success"), F.lit(False))
     failed = pdf & ~got
     bare = F.coalesce(F.col("__none"), F.lit(True))
-    made = F.struct(F.col("__i.page_count").alias("page_count"), F.col("__i.title").alias("title"), F.col("__i.author").alias("author"), F.col("__i.created_at").alias("created_at"), F.col("__layer").alias("has_text_layer"), F.col("__t.used_ocr").alias("used_ocr"), F.col("__t.tier").alias("extractor_tier"))
+    made = F.struct(F.col("__i.page_count").alias("page_count"), F.col("__i.title").alias("title"), F.col("__i.author").alias("author"), F.col("__i.created_at").alias("created_at"), F.col("__layer").alias("has_text_layer"), F.col("__t.used_ocr").alias("used_ocr"), F.col("__t.tier").alias("extractor_tier"), F.col("__t.pages").alias("pages"))
     change = {
         "body": F.when(got, F.col("__t.text")).otherwise(F.col("body")), "content_type": F.when(got, F.lit("text/markdown")).otherwise(F.col("content_type")),
         "failure_category": F.when(failed & bare, F.lit("pdf_tooling_missing")).when(failed, F.lit("extraction_failed")).otherwise(F.col("failure_category")),
         "error": F.when(failed & bare, F.lit("pdftotext not found")).when(failed, F.lit("pdf: no text")).otherwise(F.col("error")),
     }
-    return j.select(*[change[c].alias(c) if c in change else F.col(c) for c in outcomes.columns], F.when(got, made).alias("pdf"), F.when(got & (F.col("__i.title") != ""), F.col("__i.title")).alias("title"))
+    before = [F.octet_length("body").alias("body_bytes"), content_hash("body").alias("content_hash")]
+    return j.select(*[change[c].alias(c) if c in change else F.col(c) for c in outcomes.columns], *before, F.when(got, made).alias("pdf"), F.when(got & (F.col("__i.title") != ""), F.col("__i.title")).alias("title"))
 
 
 def dead_letters(records: DataFrame) -> DataFrame:

@@ -80,10 +80,12 @@ def attempt_text(cached: Column | None = None) -> Column:
 
 
 def outcomes(checked: DataFrame) -> DataFrame:
-    """One row a URL: the winner or, without one, the evidence of the last attempt that had a response."""
+    """One row a URL: the winner or, without one, the evidence of the last attempt that had a response, with what else
+    it carries (final_url, redirects, from_cache, evasion, screenshot)."""
     made = walk_ladder(checked)
     responded = F.coalesce(F.col("error"), F.lit("")) == ""
-    row = F.struct("ord", "tier", "status_code", "content_type", "body", "duration_ms")
+    more = [c for c in ("final_url", "redirects", "from_cache", "evasion", "screenshot") if c in checked.columns]
+    row = F.struct("ord", "tier", "status_code", "content_type", "body", "duration_ms", *more)
     text = F.concat(F.col("tier"), F.lit(":"), F.when(~responded, F.col("error")).otherwise(F.col("reason")))
     each = F.struct("ord", text.alias("text"), F.col("escalate"), F.col("valid"), F.col("vendor"), F.col("marker"), F.col("tier"))
     g = made.groupBy("url").agg(
@@ -99,6 +101,7 @@ def outcomes(checked: DataFrame) -> DataFrame:
         "url", won.alias("valid"), F.when(won, F.col("w.tier")).otherwise(F.col("t.tier")).alias("tier"), F.coalesce(got["status_code"], F.lit(0)).alias("status_code"), got["content_type"].alias("content_type"),
         got["body"].alias("body"), F.coalesce(got["duration_ms"], F.lit(0)).alias("duration_ms"), F.size("all").alias("n_attempts"), error.alias("error"),
         F.when(F.size(blocks) > 0, F.struct(F.lit(True).alias("detected"), blocks[0]["vendor"].alias("vendor"), blocks[0]["marker"].alias("marker"), F.transform(blocks, lambda x: x["tier"]).alias("tiers"))).alias("soft_block"),
+        *[got[c].alias(c) for c in more],
     )
     return out.withColumn("failure_category", F.when(F.col("valid"), F.lit("success")).otherwise(classify_failure("error", F.lit(""), "status_code")))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import secrets
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +122,35 @@ class JobConfig:
     retry_delay: str = "500ms"
     sources: str = "both"
     sitemap_max: int = 50_000
+    #: One tier alone, without a ladder.
+    force_tier: str = ""
+    ignore_robots: bool = False
+    burst: int = 1
+    politeness_path: str = ""
+    no_tier_learning: bool = False
+    tier_cache_path: str = ""
+    cache_enabled: bool = False
+    cache_path: str = ""
+    no_metadata: bool = False
+    screenshot_dir: str = ""
+    viewport: str = "1920x1080"
+    browser_path: str = ""
+    browser_args: list[str] = field(default_factory=list)
+    proxy_url: str = ""
+    proxy_file: str = ""
+    rotate_on_status: str = ""
+    rotate_retries: int = 2
+    browser_like: bool = False
+    user_agent_strategy: str = ""
+    stealth: bool = False
+    no_jitter: bool = False
+    tls_match: str = ""
+    actions: list[str] = field(default_factory=list)
+    actions_path: str = ""
+    ocr: bool = False
+    ocr_lang: str = "eng"
+    pdf_max_pages: int = 0
+    crawl_seed: str = ""
 
     def check(self) -> JobConfig:
         if bool(self.fallback_column) != bool(self.fallback_selector):
@@ -128,11 +159,20 @@ class JobConfig:
             raise ValueError("csv_columns need a .csv or .tsv output")
         if self.format not in FORMATS:
             raise ValueError(f"format {self.format!r}")
-        if bad := set(self.tiers) - set(TIERS):
+        if bad := {*self.tiers, self.force_tier or TIERS[0]} - set(TIERS):
             raise ValueError(f"unknown tiers {sorted(bad)}")
+        if self.proxy_url and self.proxy_file:
+            raise ValueError("proxy_url and proxy_file exclude each other")
+        if self.actions and self.actions_path:
+            raise ValueError("actions and actions_path exclude each other")
+        parse_status_codes(self.rotate_on_status), parse_viewport(self.viewport), [parse_action(a) for a in self.actions]
         duration_ms(self.timeout), duration_ms(self.cache_ttl), duration_ms(self.retry_delay)
         return self
 
+    @property
+    def ladder(self) -> list[str]:
+        return [self.force_tier] if self.force_tier else self.tiers
+
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2) + "\n")
 
@@ -143,6 +183,11 @@ class JobConfig:
         return cls(**{k: v for k, v in raw.items() if k in known})
 
 
+def new_id() -> str:
+    """Name of a job: the time in UTC and six random bytes."""
+    return f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{secrets.token_hex(6)}"
+
+
 def parse_status_codes(text: str) -> list[int]:
     out = []
     for part in filter(None, (p.strip() for p in text.split(","))):

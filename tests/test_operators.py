@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -141,11 +142,11 @@ def test_records_and_sinks(spark, tmp_path):
     schema = parse_schema({"version": 1, "fields": {"h": {"selector": "h1"}, "link": {"selector": "a", "attr": "href"}}})
     recs = records.build(outs, F.expr(TIME), [parse_field_spec("h=title"), parse_field_spec("none=.none")], schema, "markdown")
     a, b = recs.orderBy("url").collect()
-    assert a.extracted.asDict() == {"none": None, "h": "Head", "link": "/x"} and a.body.startswith("# Head") and a.metadata.page.title == "T" and a.metadata.extraction.hits == 2
+    assert a.extracted.asDict() == {"none": None, "h": "Head", "link": "/x"} and a.body.startswith("# Head") and a.metadata.page.title == "T" and tuple(a.metadata.extraction) == (2, 1)  # of the flat fields
     assert (b.failure_category, b.metadata.page, b.metadata.body_bytes) == ("http_4xx", None, 2)
     assert [r.url for r in records.dead_letters(recs).collect()] == ["https://e.com/b"]
     lines = [json.loads(r.line) for r in records.jsonl(recs).collect()]
-    assert all("none" not in x["extracted"] for x in lines)
+    assert all("none" not in x.get("extracted", {}) for x in lines) and sum("extracted" in x for x in lines) == 1
     records.write(recs, f"{tmp_path}/r.jsonl")
     assert tables.read_records(spark, f"{tmp_path}/r.jsonl").where("extracted['h'] = 'Head'").count() == 1
     records.write(recs, f"{tmp_path}/r.csv", ["url", "extracted.h", "metadata.page.title"])
@@ -174,8 +175,9 @@ def test_seed_files(spark, tmp_path):
 def test_configuration(tmp_path):
     p = f"{tmp_path}/job.json"
     config.JobConfig(id="j", depth=5).save(p)
-    assert config.JobConfig.load(p).check().depth == 5
-    for bad in ({"fallback_column": "x"}, {"csv_columns": ["a"]}, {"format": "pdf"}, {"tiers": ["x"]}, {"timeout": "soon"}):
+    assert config.JobConfig.load(p).check().depth == 5 and config.JobConfig(force_tier="http").ladder == ["http"]
+    assert re.fullmatch(r"\d{8}T\d{6}-[0-9a-f]{12}", config.new_id())
+    for bad in ({"fallback_column": "x"}, {"csv_columns": ["a"]}, {"format": "pdf"}, {"tiers": ["x"]}, {"timeout": "soon"}, {"force_tier": "x"}, {"proxy_url": "http://a", "proxy_file": "b"}, {"rotate_on_status": "4x"}, {"actions": ["jump:x"]}):
         with pytest.raises(ValueError):
             config.JobConfig(**bad).check()
     assert config.parse_action("type:#q=text") == config.Action("type", "#q", "text") and config.parse_action("sleep:2s").value == "2s"
@@ -201,6 +203,57 @@ def test_commands(spark):
     assert [r.url for r in api.batch(s, a, config.JobConfig(selectors=["l=a@href"]), F.expr(TIME)).collect()] == ["https://e.com/"]
 
 
+def test_a_batch_from_seeds_to_files(spark, tmp_path):
+    good = lambda t: f"<html><head><title>{t}</title></head><body><h1>{t}</h1><a class='to' href='/{t}x?utm_source=q'>to</a>" + "<p>text</p>" * 80 + "</body></html>"
+    e = "https://e.com/"
+    a = attempts(
+        spark,
+        (e, "http", 0, 200, good("home"), None), (e + "gone", "http", 0, 404, "no", None), (e + "lost", "http", 0, 404, "no", None), (e + "dead", "http", 0, 0, None, "lookup: no such host"),
+        (e + "old", "http", 0, 200, good("old"), None), (e + "oldx", "http", 0, 200, good("found"), None), (e + "bare", "http", 0, 200, GOOD, None), (e + "slow", "http", 0, 503, "x", None),
+        (e + "slow", "chromium", 1, 200, good("slow"), None), (e + "down", "http", 0, 500, "x", None), (e + "barred/x", "http", 0, 200, good("barred"), None), (e + "kept", "http", 0, 503, "x", None),
+    )
+    rows = [(e, ""), (e + "gone", e + "old"), (e + "lost", e + "bare"), (e + "dead", e + "nowhere"), (e + "slow", e + "old"), (e + "down", e + "old"), (e + "barred/x", ""), (e + "kept", ""), (e + "never", "")]
+    seeds_ = spark.createDataFrame([(i, u, f) for i, (u, f) in enumerate(rows)], "pos long, url string, fallback string")
+    rules = spark.createDataFrame([("e.com", "disallow", "/barred/*", 0)], "host string, type string, path string, n int")
+    cache = spark.createDataFrame([(e + "kept", "http", 200, "text/html", good("cached"), "2024-01-31 23:00:00")], "url string, tier string, status_code int, content_type string, body string, stored_at string").withColumn("stored_at", F.to_timestamp("stored_at"))
+    cfg = config.JobConfig(selectors=["h=h1"], fallback_column="f", fallback_selector="a.to", cache_enabled=True, format="json", output="out.jsonl")
+    job = api.batch_job(seeds_, a, cfg, F.expr(TIME), robots=rules, content_cache=cache)
+    got = {r.url: r for r in job.records.collect()}
+    assert {u.removeprefix(e): (r.failure_category, r.tier) for u, r in got.items()} == {
+        "": ("success", "http"), "gone": ("success", "http"), "lost": ("http_4xx", "http"), "dead": ("dns_failure", "http"), "slow": ("success", "chromium"), "down": ("http_5xx", "http"), "barred/x": ("robots_blocked", "http"), "kept": ("success", "http"),
+    }
+    gone = got[e + "gone"]
+    assert gone.canonical_url == e + "oldx" and gone.extracted.h == "found" and tuple(gone.metadata.discovery) == ("fallback", e + "gone", e + "old") and json.loads(gone.body) == {"h": "found"}
+    assert tuple(got[e + "slow"].metadata.discovery) == ("primary", e + "slow", e + "old") and got[e].metadata.discovery is None
+    assert got[e + "kept"].metadata.from_cache and not got[e].metadata.from_cache and got[e + "barred/x"].metadata is None
+    assert tuple(job.fallbacks.first()) == (3, 1, 1, 1)
+    assert sorted(r.url.removeprefix(e) for r in job.dead_letters.collect()) == ["barred/x", "dead", "down", "lost"]
+    s = job.stats.first()
+    assert (s.total, s.reachable, s.failures_by_category["robots_blocked"]) == (8, 4, 1)
+    assert {(r.url.removeprefix(e), r.tier) for r in job.cache_puts.collect()} == {("", "http"), ("slow", "chromium"), ("old", "http"), ("oldx", "http"), ("bare", "http")}
+    assert [r.host for r in job.tiers.collect()] == ["e.com"]
+    api.write_job(job, cfg, str(tmp_path))
+    assert tables.read_records(spark, f"{tmp_path}/out.jsonl").count() == 8 and spark.read.json(f"{tmp_path}/dead_letter.jsonl").count() == 4 and spark.read.json(f"{tmp_path}/stats.json").first().total == 8
+    only = api.batch(seeds_, a, config.JobConfig(force_tier="chromium"), F.expr(TIME))
+    assert [(r.url, r.metadata.extraction) for r in only.collect()] == [(e + "slow", None)]
+
+
+def test_maps_follow_pages_of_any_status(spark):
+    a = attempts(spark, ("https://e.com/", "http", 0, 404, '<a href="/a">a</a>', None), ("https://e.com/a", "http", 0, 200, '<a href="/b">b</a>', None))
+    seed = spark.createDataFrame([("https://e.com",)], "url string")
+    maps = spark.createDataFrame([], "url string, body string"), spark.createDataFrame([], "url string, pos long")
+    assert [r.url for r in api.site_map(seed, a, *maps, config.JobConfig(depth=2, sources="crawl")).orderBy("pos").collect()] == ["https://e.com/", "https://e.com/a", "https://e.com/b"]
+    assert [r.url for r in api.crawl(seed, a, config.JobConfig()).collect()] == ["https://e.com/"]
+
+
+def test_pdf_records_hold_their_pages(spark):
+    outs = spark.createDataFrame([("u", True, "http", 200, "application/pdf", "%PDF-1.7 raw", 5, None, "success", None)], "url string, valid boolean, tier string, status_code int, content_type string, body string, duration_ms long, error string, failure_category string, soft_block struct<detected:boolean,vendor:string,marker:string,tiers:array<string>>")
+    texts = spark.createDataFrame([("u", "First page of it all.\fSecond page.\f", None, None, "Title: Report\nPages: 2\n")], "url string, plain string, layout string, ocr string, info string")
+    r = records.build(records.apply_pdf(outs, texts), F.expr(TIME), body_format="html").first()
+    assert [tuple(p) for p in r.metadata.pdf.pages] == [(1, "First page of it all."), (2, "Second page.")] and r.metadata.page.title == "Report"
+    assert (r.body_format, r.metadata.body_bytes, r.body) == ("markdown", 12, "First page of it all.\n\nSecond page.\n\n")
+
+
 def stream_of(spark, df, path):
     df.repartition(3).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
