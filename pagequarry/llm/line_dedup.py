@@ -1,40 +1,69 @@
 r"""Line dedup: a suffix array over sequences of line ids by distributed prefix doubling.
 
-The lines with a word of a text are a sequence of ids (hashes of 128 bits). Round j ranks the suffixes
-by their first 2**j lines: the rank of 2 * 2**j lines is made from the ranks of a suffix and of the
-suffix 2**j lines on, an equi-join by text and position; a rank that occurs once is dropped, as that
-suffix shares less than 2**j lines with any other. The depth is limited: a run counts once it has
-``min_words`` words, so a suffix needs the rank of the least number m of lines that has them, made of
-two ranks of 2**j <= m lines that overlap. Suffixes of equal rank are an interval whose common prefix
-is at least m lines; overlapping intervals of successive suffixes make up the maximal repeated run.
-In each interval the first place (by doc_id, null last, then position) stays and the lines of all
-others go. So each removed line has an equal one before it that stays, or that goes for the same
-reason.
-
-Ranks are hashes of what they rank, so tasks agree on them without a global order; counting them is a
-grouped sum with partial sums, and joins on a frequent line are split by AQE. Removal reads a text
-again only if a Bloom filter of fixed size lets it through.
+The lines with a word of a text are a sequence of ids (124 bits, ordered as numbers). Round j has the rank of each
+suffix by its first 2**j lines: the number of suffixes that sort before it, from one range sort of the distinct
+pairs (rank of the suffix, rank of the suffix 2**j / 2 lines on). Equal ranks are an interval of the suffix array
+whose common prefix is 2**j lines at least. A suffix that is alone in its interval repeats nothing and leaves the
+array, whose order is thus worked out for the repeated suffixes alone.
+
+The depth is limited: a run counts once it has ``min_words`` words, so of the common prefix a suffix needs the least
+number m of lines that has them, which is given by two ranks of 2**j <= m lines that overlap. Each such interval
+keeps its first place (by doc_id, null last, then position); its other places are later copies. Those of successive
+suffixes overlap and make up the maximal repeated runs, whose lines go. So each removed line has an equal one before
+it that stays, or that goes for the same reason.
+
+Rows of a text meet in one task to look their further ranks up; counts of pairs combine before their shuffle; joins
+on a frequent pair are of settled tables, so AQE splits them. Removal reads a text again only if a Bloom filter of
+fixed size lets it through.
 
 Null texts stay null, empty ones empty. Lines without a word are neither compared nor removed. Rows
-equal in doc_id and text are one document here: they are kept or cut alike. Other columns pass."""
+equal in doc_id and text are one document here: they are kept or cut alike. doc_id is read as a long.
+Other columns pass, whatever their names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import bloom, bloom_hit, map_text, settle, text_key, tune
+from pagequarry.llm.common import bloom, bloom_hit, map_text, settle, spare, text_key, tune, without
+from pagequarry.llm.components import sorted_groups
 from pagequarry.llm.textkernel import mix64
 
 MIN_WORDS = 20
 
 
+def ranked(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, n: how many suffixes have it; settled) with rank, the number of suffixes whose pair sorts before.
+
+    A range sort deals the distinct pairs evenly, however often one occurs; sums of whole partitions (a row each)
+    shift the sums within them."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            ends = at + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n)], ["a", "b", "part", "at", "n"])
+            at = int(ends[-1]) if len(n) else at
+
+    shape = "a long, b long, part int, at long, n long"
+    t = settle(pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", "n").mapInArrow(number, shape), "lines-sorted")
+    sizes = sorted((r["part"], r["n"]) for r in t.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
+    starts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
+    shift = pairs.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, shift long")
+    return t.join(F.broadcast(shift), "part").select("a", "b", (F.col("at") + F.col("shift")).alias("rank"))
+
+
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """key (text_key), runs: list of (first, m) of word lines (counted from 0) to remove."""
-    tune(df.sparkSession)
+    """key (text_key), runs: the maximal runs (first, m) of word lines (counted from 0) to remove."""
+    spark = df.sparkSession
+    tune(spark)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), text_key("doc_id", text).alias("key"))
 
     def ids(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -44,8 +73,7 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
         words = np.bincount(np.searchsorted(ls, ws, side="right") - 1, minlength=len(ls))
         some = words > 0
         ls, le, ld, words = ls[some], le[some], ld[some], words[some]
-        one = K.Rolling(data).ranges(ls, le)
-        two = K.Rolling(K.LOWER[data] ^ np.uint8(0x5A)).ranges(ls, le) ^ mix64(one)
+        one, two = (K.Rolling(data, seed).ranges(ls, le).view(np.int64) for seed in (0, 1))
         first = np.searchsorted(ld, ld)
         pos = np.arange(len(ld)) - first
         # least m so that lines pos .. pos + m - 1 have min_words words; 0 where the text ends before
@@ -54,57 +82,90 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
         last = np.searchsorted(ld, ld, side="right")
         m = np.where(end <= last, end - np.arange(len(ld)), 0)
         take = pa.array(ld)
-        return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(pos.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(m.astype(np.int32))], ["doc_id", "key", "pos", "r1", "r2", "m"])
-
-    every = settle(map_text(docs, ids, "doc_id long, key long, pos int, r1 long, r2 long, m int"), "lines")
-
-    def shared(t: DataFrame) -> DataFrame:
-        """Rows whose rank occurs more than once."""
-        return t.join(t.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), ["r1", "r2"], "left_semi")
-
-    def ahead(a: DataFrame, t: DataFrame, by) -> DataFrame:
-        """Rows of a with the pair of their rank and that of t's suffix by lines further on."""
-        b = t.select("key", "pos", "r1", "r2").distinct().alias("b")
-        both = a.alias("a").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.pos") + by == F.col("b.pos")))
-        ranks = [F.xxhash64("a.r1", "b.r2", F.lit(1)).alias("r1"), F.xxhash64("a.r2", "b.r1", F.lit(2)).alias("r2")]
-        return both.select("a.doc_id", "a.key", "a.pos", "a.m", *ranks)
-
-    runs, length, t = [], 1, settle(shared(every), "lines-0")
+        return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(pos.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "key", "pos", "m", "a", "b"])
+
+    def ahead(length: int):
+        """Rank of the suffix by length lines further on (b) and of that by m - length (e; -1: none, or m is for another round)."""
+
+        def find(g: pa.Table) -> pa.RecordBatch:
+            g = g.combine_chunks()
+            key, pos, m, rank = (g.column(c).to_numpy() for c in ("key", "pos", "m", "rank"))
+            place = lambda at: mix64(key.view(np.uint64) ^ mix64(at.astype(np.uint64) + np.uint64(1)))
+            here = place(pos)
+            order = np.argsort(here)
+
+            def at(where: np.ndarray) -> np.ndarray:
+                want = place(where)
+                i = order[np.minimum(np.searchsorted(here, want, sorter=order), len(order) - 1)]
+                return np.where(here[i] == want, rank[i], -1)
+
+            mine = (m >= length) & (m < 2 * length)
+            e = np.where(mine, at(np.where(mine, pos + m - length, pos)), -1)
+            return pa.RecordBatch.from_arrays([*(g.column(c).chunk(0) for c in ("doc_id", "key", "pos", "m", "rank")), pa.array(at(pos + length)), pa.array(e)], ["doc_id", "key", "pos", "m", "a", "b", "e"])
+
+        return find
+
+    def next_ranks(t: DataFrame, name: str) -> DataFrame:
+        """t (a, b of each suffix) with its rank by (a, b), less the suffixes that are alone."""
+        pairs = settle(t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"lines-pairs-{name}")
+        both = F.xxhash64("a", "b")
+        may = t.withColumn("both", both).where(bloom_hit(spark, "both", bloom(pairs.select(both.alias("both")))))
+        return may.join(ranked(pairs), ["a", "b"]).select("doc_id", "key", "pos", "m", "rank")
+
+    every = settle(map_text(docs, ids, "doc_id long, key long, pos int, m int, a long, b long"), "lines")
+    deepest = every.agg(F.max("m").alias("m")).first()["m"] or 0
+    t, length, runs = next_ranks(every, "0"), 1, []
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "pos")
     while True:
-        columns = ["doc_id", "key", "pos", "m", "r1", "r2"]
-        exact = t.where(F.col("m") == length).select(columns)
-        if length > 1:  # m lines by two ranks that overlap
-            exact = exact.unionByName(ahead(t.where((F.col("m") > length) & (F.col("m") < 2 * length)), t, F.col("a.m") - length).select(columns))
-        place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "pos")
-        heads = exact.groupBy("r1", "r2", "m").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        later = exact.join(heads, ["r1", "r2", "m"]).where(~((F.col("key") == F.col("head.key")) & (F.col("pos") == F.col("head.pos")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))))
+        t = settle(sorted_groups(t, ["key"], ahead(length), "doc_id long, key long, pos int, m int, a long, b long, e long", together=True), f"lines-{length}")
+        # suffixes of equal ranks here and m - length lines on have m lines in common: an interval of the array
+        exact = t.where("e >= 0").select("doc_id", "key", "pos", "m", "a", "e")
+        heads = settle(exact.groupBy("a", "e", "m").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-heads")
+        later = exact.join(heads, ["a", "e", "m"]).where(~((F.col("key") == F.col("head.key")) & (F.col("pos") == F.col("head.pos")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))))
         runs.append(later.select("key", F.col("pos").alias("first"), "m"))
-        deepest = t.agg(F.max("m").alias("m")).first()["m"] or 0
         if deepest < 2 * length:
             break
-        t = settle(shared(ahead(t, t, F.lit(length))), f"lines-{length}")
+        t = next_ranks(t.where("b >= 0"), str(2 * length))
         length *= 2
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
-    return out.groupBy("key").agg(F.collect_set(F.struct("first", "m")).alias("runs"))  # of one text
+
+    def maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs that overlap or touch as one."""
+        for batch in batches:
+            joined = []
+            for parts in batch.column("runs").to_pylist():
+                own: list[dict] = []
+                for r in sorted(parts, key=lambda x: x["first"]):
+                    if own and r["first"] <= own[-1]["first"] + own[-1]["m"]:
+                        own[-1]["m"] = max(own[-1]["m"], r["first"] + r["m"] - own[-1]["first"])
+                    else:
+                        own.append({"first": r["first"], "m": r["m"]})
+                joined.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(joined, batch.schema.field("runs").type)], ["key", "runs"])
+
+    of_text = out.groupBy("key").agg(F.collect_set(F.struct("first", "m")).alias("runs"))
+    return of_text.mapInArrow(maximal, "key long, runs array<struct<first:int,m:int>>")
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """df with text less the lines of later copies, and n_lines (with a word, before) and n_removed_lines;
     columns of the two names are replaced."""
-    df = df.select(*[f"`{c}`" for c in df.columns if c not in ("n_lines", "n_removed_lines")])
+    df = without(df, "n_lines", "n_removed_lines")
     names = df.columns
+    own = [f"`{c}`" for c in names]
+    key, runs_of = spare(df, "__key", "__runs")
     runs = settle(repeated_lines(df, min_words, text), "lines-runs")
-    keyed = df.withColumn("__key", text_key("doc_id", text))
-    hit = bloom_hit(df.sparkSession, "__key", bloom(runs.select("key")))
+    keyed = df.withColumn(key, text_key("doc_id", text))
+    hit = bloom_hit(df.sparkSession, key, bloom(runs.select("key")))
     count = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
-    alone = keyed.where(~hit).select(*names, count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
-    touched = keyed.where(hit).join(runs.select(F.col("key").alias("__key"), F.col("runs").alias("__runs")), "__key", "left").select(*names, "__runs")
+    alone = keyed.where(~hit).select(*own, count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
+    touched = keyed.where(hit).join(runs.select(F.col("key").alias(key), F.col("runs").alias(runs_of)), key, "left").select(*own, runs_of)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, gone = [], [], []
-        for t, rs in zip(part.column(text).to_pylist(), part.column("__runs").to_pylist()):
+        for t, rs in zip(part.column(text).to_pylist(), part.column(runs_of).to_pylist()):
             lines = (t or "").encode().split(b"\n")
             at = [i for i, x in enumerate(lines) if x.split()]
             dead = {at[k] for r in rs or () for k in range(r["first"], min(r["first"] + r["m"], len(at)))}
