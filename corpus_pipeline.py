@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import bpe, line_dedup, minhash_dedup, mixing, quality_classifier
-from pagequarry.llm.common import bloom, bloom_hit, settle, text_key
+from pagequarry.llm.common import bloom, bloom_hit, settle, spare, text_key
 
 
 def _with_length(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -43,15 +43,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mixture takes its words, to the nearest whole number; a document
-    without words stays out."""
-    names = docs.columns
-    taken = mixing.mix_documents(docs).where("taken > 0").select(F.col("key").alias("__key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("n"))
-    copies = settle(taken.groupBy("__key").agg(F.sum("n").cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows")).where("__n > 0"), "mix-copies")
-    keyed = docs.withColumn("__key", text_key())
-    chosen = keyed.where(bloom_hit(spark, "__key", bloom(copies.select("__key")))).join(copies, "__key")
+    without words stays out. A source with words that would be left without a document by the rounding keeps the
+    one of which the mixture takes the largest part."""
+    names = [f"`{c}`" for c in docs.columns]
+    key, n, rows_of, copy = spare(docs, "__key", "__n", "__rows", "__copy")
+    part = F.col("taken") / F.col("size")
+    taken = settle(mixing.mix_documents(docs).where("taken > 0").select("source", "key", part.alias("part"), F.round(part).cast("int").alias("n")), "mix-taken")
+    rescued = taken.groupBy("source").agg(F.sum("n").alias("all"), F.max_by("key", F.struct("part", "key")).alias("key")).where("all = 0").select("key", F.lit(1).alias("n"))
+    whole = taken.where("n > 0").select("key", "n").unionByName(rescued)
+    copies = settle(whole.groupBy(F.col("key").alias(key)).agg(F.sum("n").cast("int").alias(n), F.count(F.lit(1)).alias(rows_of)), "mix-copies")
+    keyed = docs.withColumn(key, text_key())
+    chosen = keyed.where(bloom_hit(spark, key, bloom(copies.select(key)))).join(copies, key)
     # rows that can't be told apart share their number of copies
-    rows = chosen.where("__rows = 1").unionByName(chosen.where("__rows > 1").dropDuplicates(["__key"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(names)
+    rows = chosen.where(F.col(rows_of) == 1).unionByName(chosen.where(F.col(rows_of) > 1).dropDuplicates([key]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

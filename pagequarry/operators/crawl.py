@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.operators.frontier import sorted_rank
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a local master has one of its own; on a cluster
@@ -34,7 +35,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, limit: int = 1
     deterministic. Each round joins the new URLs to the edges, drops known ones by an anti-join and
     stops when nothing is new."""
     cap = (lambda d, done: d.where(F.col("rank") < limit)) if limit else (lambda d, done: d)
-    first = seeds.select("url").distinct().withColumn("rank", F.row_number().over(W.orderBy("url")) - 1)  # the seeds of one crawl
+    first = sorted_rank(seeds.select("url").distinct(), ["url"], "rank")
     seen = held(cap(first, 0).select("url", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("rank")))
     new, n = seen, seen.count()
     for depth in range(1, max_depth + 1):
@@ -45,11 +46,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, limit: int = 1
         found = links.groupBy("dst").agg(F.min(order).alias("at")).withColumnRenamed("dst", "url").join(seen.select("url"), "url", "left_anti")
         if limit:
             found = found.orderBy("at").limit(max(limit - n, 0))
-        # ranks by offset within ranges of the parents' ranks
-        parts = found.withColumn("bucket", F.floor(F.col("at.rank") / 4096))
-        offs = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).withColumn("base", F.coalesce(F.sum("k").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("k")
-        ranked = parts.withColumn("i", F.row_number().over(W.partitionBy("bucket").orderBy("at"))).join(offs, "bucket")
-        new = held(ranked.select("url", F.lit(depth).alias("depth"), (F.lit(n) + F.col("base") + F.col("i") - 1).cast("long").alias("rank")))
+        at = found.select("url", F.col("at.rank").alias("r"), F.col("at.ord").alias("o"))
+        ranked = sorted_rank(at, ["r", "o", "url"], "i")
+        new = held(ranked.select("url", F.lit(depth).alias("depth"), (F.lit(n) + F.col("i")).cast("long").alias("rank")))
         k = new.count()
         if not k:
             break
@@ -83,7 +82,8 @@ def parse_sitemap(docs: DataFrame, body: str = "body") -> DataFrame:
 
 
 def walk_sitemaps(docs: DataFrame, starts: DataFrame, max_depth: int = 3, max_urls: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(url, pos) of all pages, and (url, depth, urlset_count, index_count) of the sitemaps walked.
+    """(url, pos) of all pages, and (url, depth, urlset_count, index_count, truncated) of the sitemaps walked; truncated
+    says of the whole walk that locations were left once max_urls pages were found.
 
     docs: url, body. starts: url, pos. Each sitemap is read once, however often it is named; indexes go
     max_depth levels down; of more than max_urls pages the first by position stay (0: 50000)."""
@@ -97,8 +97,11 @@ def walk_sitemaps(docs: DataFrame, starts: DataFrame, max_depth: int = 3, max_ur
             break
         seen = seen.unionByName(new)
     walked = seen.join(parsed, "url")
-    trace = walked.select("url", "depth", F.size("urls").alias("urlset_count"), F.size("children").alias("index_count"))
     locs = walked.select("depth", "path", F.posexplode("urls").alias("i", "loc"))
-    pages = locs.groupBy(F.col("loc").alias("url")).agg(F.min(F.struct("depth", "path", "i")).alias("at"))
-    pages = pages.orderBy("at").limit(max_urls or 50_000)
-    return pages.select("url", (F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("pos")), trace
+    at = F.struct("depth", "path", "i")
+    cap = max_urls or 50_000
+    pages = held(sorted_rank(locs.groupBy(F.col("loc").alias("url")).agg(F.min(at).alias("at")), ["at", "url"], "pos").where(F.col("pos") < cap))
+    n, last = pages.agg(F.count(F.lit(1)), F.max("at")).first()
+    truncated = n >= cap and n > 0 and locs.select(at.alias("at")).where(F.col("at") > F.struct(F.lit(last["depth"]).alias("depth"), F.lit(list(last["path"])).cast("array<bigint>").alias("path"), F.lit(last["i"]).alias("i"))).limit(1).count() > 0
+    trace = walked.select("url", "depth", F.size("urls").alias("urlset_count"), F.size("children").alias("index_count"), F.lit(truncated).alias("truncated"))
+    return pages.select("url", F.col("pos").cast("long").alias("pos")), trace

@@ -31,6 +31,22 @@ def global_rank(df: DataFrame, by: str, name: str) -> DataFrame:
     return ranged.withColumn("__i", inner).join(offsets, "__r").withColumn(name, F.col("__o") + F.col("__i")).drop("__r", "__i", "__o")
 
 
+def sorted_rank(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with name, the row's rank by the columns, from 0: a range sort, written down, whose partitions' row counts
+    (a row each reaches the driver) shift the places within them. No task sees more than a range."""
+    from pagequarry.operators.crawl import held
+
+    t = held(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__m", 33)
+    sizes = sorted((r["p"], r["n"]) for r in t.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    at, shifts = 0, []
+    for p, n in sizes:
+        shifts.append((p, at))
+        at += n
+    shift = F.broadcast(df.sparkSession.createDataFrame(shifts, "__p long, __o long"))
+    return t.withColumn("__p", part).join(shift, "__p").withColumn(name, F.col("__o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__o", "__m")
+
+
 def enqueue(seeds: DataFrame, now: Column) -> DataFrame:
     """Frontier rows of new seeds (pos, url, fallback), in order of first sight."""
     q = global_rank(first_seen(seeds), "pos", "seq")

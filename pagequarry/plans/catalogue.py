@@ -298,6 +298,17 @@ def _overlaid(spark, d):
     return route.overlay_fallback(spark_input(spark, d, _PRIMARY), spark_input(spark, d, _FALLBACK))
 
 
+@register("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 0.0 ELSE round(0.25 / (page_id % 4), 6) END AS bound FROM pages")
+def jitter_bounds(spark, d):
+    return _pages(spark, d).select("page_id", F.round(quality.jitter_bound(F.col("page_id") % 4, F.lit(0.25)), 6).alias("bound"))
+
+
+@register(f"SELECT url, tier, status_code, sha256(body) AS body FROM ({O.made(_K)}) m WHERE valid")
+def cache_puts(spark, d):
+    made = route.walk_ladder(route.check_attempts(spark_input(spark, d, I.KEYED_ATTEMPTS)))
+    return route.cache_puts(made, F.expr(NOW)).select("url", "tier", "status_code", F.sha2(F.col("body").cast("binary"), 256).alias("body"))
+
+
 @register(_OVER)
 def fallback_overlay(spark, d):
     return _overlaid(spark, d).drop("fallback_url")
@@ -348,6 +359,22 @@ def stats_wall_clock(spark, d):
     return stats.wall_clock(_records(spark, d))
 
 
+_HIT = "failure_category = 'success' AND duration_ms > 0"
+
+
+@register(f"""SELECT count(*) AS total, count(*) FILTER ({_OK}) AS reachable, count(*) FILTER (NOT {_OK}) AS unreachable, round(count(*) FILTER ({_HIT} AND tier = 'chromium') / count(*) FILTER ({_OK}), 6) AS escalation_rate,
+  (SELECT string_agg(concat(tier, '=', n), ';' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM ({_R}) a GROUP BY tier) b) AS tier_attempted, (SELECT string_agg(concat(tier, '=', n), ';' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM ({_R}) a WHERE {_HIT} GROUP BY tier) b) AS tier_succeeded,
+  (SELECT string_agg(concat(failure_category, '=', n), ';' ORDER BY failure_category) FROM (SELECT failure_category, count(*) AS n FROM ({_R}) a GROUP BY 1) b) AS failures,
+  (SELECT string_agg(concat(tier, '=', n, ',', avg_ms, ',', lo, ',', hi), ';' ORDER BY tier) FROM (SELECT tier, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) // count(*) AS avg_ms, min(duration_ms) AS lo, max(duration_ms) AS hi FROM ({_R}) a WHERE {_HIT} GROUP BY tier) b) AS latency FROM ({_R}) r""")
+def stats_snapshot(spark, d):
+    flat = lambda c, value: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), ";")
+    number = lambda v: v.cast("string")
+    return stats.snapshot(_records(spark, d)).select(
+        "total", "reachable", "unreachable", F.round("escalation_rate", 6).alias("escalation_rate"), flat("tier_attempted", number).alias("tier_attempted"), flat("tier_succeeded", number).alias("tier_succeeded"),
+        flat("failures_by_category", number).alias("failures"), flat("latency", lambda v: F.concat_ws(",", v["hits"], v["avg_ms"], v["min_ms"], v["max_ms"])).alias("latency"),
+    )
+
+
 @register(f"SELECT date_trunc('hour', ts) AS hour, tier, category, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM ({_LOG}) l GROUP BY 1, 2, 3")
 def fetch_events_hourly(spark, d):
     log = spark_input(spark, d, I.FETCH_LOG)
@@ -366,8 +393,7 @@ def _stream(spark, d, table, sql):
 
 
 def _to_end(spark, stream, mode):
-    name = f"stream_{uuid.uuid4().hex}"
-    return jobs.run_to_end(stream, name, mode, f"{crawl.shared_folder(spark)}/{name}")
+    return jobs.run_to_end(stream, mode, f"{crawl.shared_folder(spark)}/pagequarry-stream-{uuid.uuid4().hex}")
 
 
 @register(f"SELECT tier, category, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM ({_LOG}) l GROUP BY 1, 2")
@@ -552,10 +578,37 @@ def readable_body(spark, d):
     return _pages(spark, d).select("page_id", parse_page("html", "url", readable=True)["readable"].alias("readable"))
 
 
-@register()
+# the row that counts: the winner, else the last answer
+_REC = f"""SELECT o.url, o.valid, o.tier, o.error, coalesce(arg_max(m.status_code, m.ord) FILTER (WHERE coalesce(m.error, '') = ''), 0) AS status_code, arg_max(m.body, m.ord) FILTER (WHERE coalesce(m.error, '') = '') AS body,
+  arg_max(m.content_type, m.ord) FILTER (WHERE coalesce(m.error, '') = '') AS content_type, arg_min(m.tier, m.ord) FILTER (WHERE starts_with(m.reason, 'soft block')) AS walled
+FROM ({_OUT}) o JOIN ({O.made(_K)}) m ON m.url = o.url GROUP BY o.url, o.valid, o.tier, o.error"""
+_PAGE = f"valid AND {O.html('content_type')}"
+_TEXT = lambda tag: O.unescape(f"trim(regexp_extract(body, '<{tag}>([^<]*)</{tag}>', 1))")
+
+
+@register(f"""SELECT url, url AS canonical_url, tier, status_code, CASE WHEN body IS NOT NULL THEN concat('sha256:', sha256(body)) END AS content_hash, CAST(strlen(body) AS INTEGER) AS body_bytes, CASE WHEN body IS NOT NULL THEN url END AS final_url,
+  CASE WHEN valid THEN sha256(body) END AS body, CASE WHEN valid THEN 'html' END AS body_format, CASE WHEN {_PAGE} THEN nullif({_TEXT("h1")}, '') END AS h1, CASE WHEN {_PAGE} THEN {_TEXT("title")} END AS title,
+  CASE WHEN valid THEN CASE WHEN {_PAGE} AND {_TEXT("h1")} <> '' THEN 1 ELSE 0 END END AS hits, walled, error, CASE WHEN valid THEN 'success' ELSE {O.classify('error', chr(39) * 2, 'status_code')} END AS failure_category FROM ({_REC}) r""")
 def record_build(spark, d):
-    built = records.build(_outcomes(spark, d), F.expr(NOW), css=_H1, schema=_SCHEMA, body_format="markdown")
-    return built.select("url", "canonical_url", "tier", "status_code", "content_hash", F.to_json("extracted").alias("extracted"), "body", F.to_json("metadata").alias("metadata"), "error", "failure_category")
+    built = records.build(_outcomes(spark, d), F.expr(NOW), css=[parse_field_spec("h1=article > h1"), parse_field_spec("none=.nothing")], body_format="html")
+    m = "metadata."
+    return built.select(
+        "url", "canonical_url", "tier", "status_code", "content_hash", m + "body_bytes", m + "final_url", F.sha2(F.col("body").cast("binary"), 256).alias("body"), "body_format",
+        "extracted.h1", m + "page.title", m + "extraction.hits", F.get(m + "soft_block.tiers", F.lit(0)).alias("walled"), "error", "failure_category",
+    )
+
+
+@register("""SELECT page_id, concat('url=', url, ';n=', page_id, CASE WHEN page_id % 2 = 0 THEN ';empty=' ELSE '' END) AS line FROM pages""")
+def jsonl_file(spark, d):
+    """Records written as JSON lines and read again: what is null isn't there, what is empty is."""
+    rows = _pages(spark, d).select("page_id", F.struct("url", F.col("page_id").alias("n"), F.when(F.col("page_id") % 2 == 0, F.lit("")).alias("empty")).alias("r"))
+    path = f"{crawl.shared_folder(spark)}/pagequarry-sink-{uuid.uuid4().hex}/records.jsonl"
+    records.write(rows.select("r.*"), path)
+    text = spark.read.text(path)
+    has = lambda k: text["value"].contains(f'"{k}":')
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    line = F.concat(F.lit("url="), get("url"), F.lit(";n="), get("n"), F.when(has("empty"), F.concat(F.lit(";empty="), get("empty"))).otherwise(F.lit("")))
+    return text.select(get("n").cast("long").alias("page_id"), line.alias("line"))
 
 
 # ---- crawl, maps, sitemaps ----
@@ -591,12 +644,33 @@ def sitemap_walk(spark, d):
     return pages.select("url", F.col("pos").cast("int").alias("pos"))
 
 
-@register("SELECT * FROM (VALUES ('https://x.org/sitemap.xml', 0, 0, 3), ('https://x.org/a.xml', 1, 2, 0), ('https://x.org/b.xml', 1, 2, 0)) v(url, depth, urlset_count, index_count)")
+_WALKED = "SELECT * FROM (VALUES ('https://x.org/sitemap.xml', 0, 0, 3, {t}), ('https://x.org/a.xml', 1, 2, 0, {t}), ('https://x.org/b.xml', 1, 2, 0, {t})) v(url, depth, urlset_count, index_count, truncated)"
+
+
+@register(_WALKED.format(t="true"))
+def sitemap_truncated(spark, d):
+    docs = spark_input(spark, d, I.SITEMAPS)
+    return crawl.walk_sitemaps(docs, spark.createDataFrame([("https://x.org/sitemap.xml", 0)], "url string, pos long"), max_urls=2)[1]
+
+
+@register(_WALKED.format(t="false"))
 def sitemap_sources(spark, d):
     docs = spark_input(spark, d, I.SITEMAPS)
     return crawl.walk_sitemaps(docs, spark.createDataFrame([("https://x.org/sitemap.xml", 0)], "url string, pos long"))[1]
 
 
+@register("SELECT concat('u', page_id) AS url, 'sitemap' AS source FROM pages WHERE page_id % 2 = 0 AND page_id < 20")
+def map_limit(spark, d):
+    p = _pages(spark, d).select(F.concat(F.lit("u"), "page_id").alias("url"), F.col("page_id").alias("pos"))
+    return crawl.map_union(p.where("pos % 2 = 0"), p.where("pos % 3 = 0"), 10).select("url", "source")
+
+
+@register("SELECT concat('u', page_id) AS url, 'crawl' AS source FROM pages WHERE page_id % 3 = 0")
+def map_sources(spark, d):
+    p = _pages(spark, d).select(F.concat(F.lit("u"), "page_id").alias("url"), F.col("page_id").alias("pos"))
+    return crawl.map_union(p.where("pos % 2 = 0"), p.where("pos % 3 = 0"), 0, "crawl").select("url", "source")
+
+
 # ---- sinks ----
 
 

@@ -32,8 +32,10 @@ def resolve_url_column(header: Sequence[str], name: str = "") -> int:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """A URL a line; blank lines and # lines don't count."""
-    lines = spark.read.text(path).where(F.length("value") <= MAX_LINE).select(F.monotonically_increasing_id().alias("pos"), trim_ws("value").alias("url"))
+    """A URL a line; blank lines and # lines don't count. A line of over MAX_LINE bytes is an error."""
+    long = F.raise_error(F.lit(f"{path}: a line is longer than {MAX_LINE} bytes")).cast("string")
+    value = F.when(F.octet_length("value") > MAX_LINE, long).otherwise(F.col("value"))
+    lines = spark.read.text(path).select(value.alias("value")).select(F.monotonically_increasing_id().alias("pos"), trim_ws("value").alias("url"))
     return lines.where("url <> '' AND NOT startswith(url, '#')").select("pos", "url", F.lit("").alias("fallback"))
 
 
@@ -58,4 +60,6 @@ def read_seeds(spark: SparkSession, path: str, url_column: str = "", fallback_co
     low = path.lower()
     if low.endswith((".csv", ".tsv")):
         return read_delimited(spark, path, "\t" if low.endswith(".tsv") else ",", url_column, fallback_column)
+    if fallback_column:
+        raise ValueError(f"a fallback column needs a .csv or .tsv file, not {path}")
     return read_text(spark, path)

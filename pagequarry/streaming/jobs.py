@@ -75,8 +75,19 @@ def hourly(log: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> D
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total_ms")).select(F.col("w.start").alias("hour"), "tier", "category", "n", "total_ms")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is available now, into a table in memory (for tests and small results)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """All that is available now, as Parquet in folder, a part for each micro-batch: the last part in complete mode
+    (it has everything), all parts in the others. A part that is written again after a failure replaces itself."""
+    parts: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/part={batch}")
+        parts.append(batch)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}-progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    chosen = [max(parts)] if mode == "complete" else sorted(set(parts))
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/part={b}" for b in chosen])

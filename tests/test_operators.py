@@ -165,6 +165,15 @@ def test_seed_files(spark, tmp_path):
     assert [r.url for r in seeds.read_seeds(spark, f"{tmp_path}/s.txt").collect()] == ["https://a.org/", "https://b.org/"]
     assert [(r.url, r.fallback) for r in seeds.read_seeds(spark, f"{tmp_path}/s.csv", fallback_column="OTHER").collect()] == [("https://a.org/", "https://f.org/"), ("https://b.org/", "")]
     assert [r.url for r in seeds.read_seeds(spark, f"{tmp_path}/s.tsv").collect()] == ["https://a.org/"]
+    with pytest.raises(ValueError):
+        seeds.read_seeds(spark, f"{tmp_path}/s.txt", fallback_column="x")
+    for n in (1 << 20, (1 << 20) + 1):
+        (tmp_path / "long.txt").write_text("https://a.org/\n" + "q" * n + "\n")
+        if n == 1 << 20:
+            assert seeds.read_seeds(spark, f"{tmp_path}/long.txt").count() == 2
+        else:
+            with pytest.raises(Exception, match="longer than"):
+                seeds.read_seeds(spark, f"{tmp_path}/long.txt").collect()
     for bad in ({"url_column": "none"}, {"url_column": "url", "fallback_column": "url"}):
         with pytest.raises(ValueError):
             seeds.read_seeds(spark, f"{tmp_path}/s.csv", **bad)
@@ -265,7 +274,7 @@ def test_streams_equal_batches(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [(i, t0 + timedelta(minutes=7 * i), f"h{i % 4}", "chromium" if i % 3 == 0 else "http", "success" if i % 2 else "http_4xx", i) for i in range(60)]
     log = spark.createDataFrame(rows, "event_id long, ts timestamp, host string, tier string, category string, duration_ms long")
-    run = lambda f, name, mode, df=log: jobs.run_to_end(f(stream_of(spark, df, f"{tmp_path}/{name}")), name, mode, f"{tmp_path}/{name}-ck").collect()
+    run = lambda f, name, mode, df=log: jobs.run_to_end(f(stream_of(spark, df, f"{tmp_path}/{name}")), mode, f"{tmp_path}/{name}-out").collect()
     assert {(r.host, r.tier) for r in run(jobs.learn_tiers, "tiers", "complete")} == {(r.host, r.tier) for r in route.latest_tier(log.where("category = 'success'"), "ts", "event_id").collect()}
     assert sorted(map(tuple, run(jobs.live_stats, "live", "complete"))) == sorted(map(tuple, jobs.live_stats(log).collect()))
     hourly = {tuple(r) for r in run(lambda s: jobs.hourly(s, "30 days"), "hourly", "append")}
@@ -277,5 +286,5 @@ def test_streams_equal_batches(spark, tmp_path):
     ops = spark.createDataFrame([("u", "enqueue", "", "", t0, 0), ("u", "next", "", "", t0, 1), ("u", "failed", "http", "boom", t0, 2)], "url string, op string, tier string, err string, ts timestamp, n long").coalesce(1)
     ops.write.parquet(f"{tmp_path}/ops")
     stream = spark.readStream.schema(ops.schema).parquet(f"{tmp_path}/ops")
-    got = jobs.run_to_end(jobs.state_machine(stream), "ops", "update", f"{tmp_path}/ops-ck").collect()
+    got = jobs.run_to_end(jobs.state_machine(stream), "update", f"{tmp_path}/ops-out").collect()
     assert [tuple(r) for r in got] == [("u", "failed", 1, "http", "boom", 1)]
