@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagequarry.llm.line_dedup import MIN_WORDS
 from pagequarry.llm.minhash_dedup import SHINGLE, THRESHOLD
 from pagequarry.llm.quality_rules import BOILERPLATE, LineRules
+from pagequarry.llm.suffix_dedup import PASSAGE, WIDTH
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _count = lambda x, chars: f"(length({x}) - length(regexp_replace({x}, '[{chars}]', '', 'g')))"
@@ -16,7 +17,7 @@ def quality_rules(r: LineRules = LineRules()) -> str:
     stops = r"""[.!?:;"'')\]}。！？…”’]$"""
     return f"""WITH l AS ({_LINES}), w AS (SELECT *, {_WORDS.format("line")} AS ws FROM l),
   j AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again, len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS stutter FROM w),
-  f AS (SELECT doc_id, n, again AND n > 0 AS dup, n > 0 AND (NOT regexp_matches(regexp_replace(line, '[\\x20\\x09-\\x0D]{{1,4}}$', ''), '{stops}') OR again OR {_count("line", "#*$%&|<>")} > {r.symbols} * n OR {_count("line", "|<>")} > {r.navigation} * n
+  f AS (SELECT doc_id, n, again AND n > 0 AS dup, n > 0 AND (NOT regexp_matches(regexp_replace(line, '[\\x20\\x09-\\x0D]+$', ''), '{stops}') OR again OR {_count("line", "#*$%&|<>")} > {r.symbols} * n OR {_count("line", "|<>")} > {r.navigation} * n
     OR {_count("line", "!")} > greatest(1, {r.shouts} * n) OR ({_count("line", "A-Z")} > {r.capitals} * greatest({_count("line", "A-Za-z")}, 1) AND n >= {r.short}) OR stutter > {r.stutter} * n OR {phrases}) AS failed FROM j),
   g AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (failed), 0) AS BIGINT) AS n_lost_words FROM f GROUP BY doc_id),
   d AS (SELECT doc_id, text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -28,6 +29,21 @@ def quality_rules(r: LineRules = LineRules()) -> str:
 SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat} * n_words AS base_failed, NOT (n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat} * n_words) AND n_lost_words <= {r.max_lost} * n_words AS kept FROM t"""
 
 
+def suffix_dedup(width: int = WIDTH, passage: int = PASSAGE) -> str:
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hash(doc_id, text) AS own, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+  w AS (SELECT r, i, hash(substr(h, 2 * i + 1, {2 * width})) AS k FROM (SELECT r, h, unnest(range(0, n - {width - 1})) AS i FROM d WHERE n >= {width}) q),
+  hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) q WHERE c > 1),
+  g AS (SELECT r, i, sum(CASE WHEN i <= before + {width} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit) q),
+  s AS (SELECT r, min(i) AS a, max(i) + {width} AS b FROM g GROUP BY r, run),
+  p AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT s.r, max(b), max(d.n) FROM s JOIN d ON d.r = s.r GROUP BY s.r),
+  k AS (SELECT p.r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM p JOIN d ON d.r = p.r GROUP BY p.r),
+  t AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY r),
+  v AS (SELECT r, own, k, hash(array_to_string(list_slice(ws, k, k + {passage - 1}), ' ')) AS x FROM (SELECT r, own, ws, unnest(range(1, len(ws) - {passage - 2})) AS k FROM d WHERE len(ws) >= {passage}) q),
+  u AS (SELECT r, count(DISTINCT c) AS n FROM (SELECT r, unnest(range(k, k + {passage})) AS c FROM (SELECT r, k, min(own) OVER (PARTITION BY x) AS lo, max(own) OVER (PARTITION BY x) AS hi FROM v) q WHERE lo < hi) q GROUP BY r)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(u.n, 0) AS n_passage_words
+FROM d LEFT JOIN t ON t.r = d.r LEFT JOIN k ON k.r = d.r LEFT JOIN u ON u.r = d.r"""
+
+
 def warc() -> str:
     digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST(concat('0x', substr(h, 5 * (i // 4) + 1, 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)"
     return f"""SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: {digit}), '') AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, target
@@ -70,4 +86,4 @@ SELECT id AS doc_id, root AS class_id, count(*) OVER (PARTITION BY root) AS clas
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules(), "op4_warc": warc(), "op7_line_dedup": line_dedup(), "op9_embedding_dedup": embedding_dedup(), "op10_minhash_dedup": minhash_dedup()}
+    return {"op1_suffix_dedup": suffix_dedup(), "op2_quality_rules": quality_rules(), "op4_warc": warc(), "op7_line_dedup": line_dedup(), "op9_embedding_dedup": embedding_dedup(), "op10_minhash_dedup": minhash_dedup()}
