@@ -9,9 +9,12 @@ taken meet the target to the word.
 
 A document's size is its number of runs of [^\x20\x09-\x0D] (null text: 0). Documents, slots and
 blocks stay distributed: ranks and positions are sums within bounded buckets plus prefix sums over
-bucket totals, so no source has to fit in a task. Only one row a source reaches the driver (at most
-MAX_SOURCES, checked). Documents without words take nothing; repeated rows are separate documents;
-a null source is a source of its own, the last one."""
+bucket totals, so no source has to fit in a task. One row a source reaches the driver, of at most
+MAX_SOURCES; more sources stay distributed, and as what the slots take of a source is whole rounds and
+then the first words of one more, that is worked out source by source without the slots, with the same
+result. Documents without words take nothing; repeated rows are separate documents; a null source is a
+source of its own, the last one. Very long texts are counted where they are. Ties of the shuffling hash
+go by doc_id."""
 
 from __future__ import annotations
 
@@ -25,12 +28,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import settle, text_key, tune
+from pagequarry.operators.frontier import sorted_rank
 
 BLOCK = 64
 CYCLE = (1, 2, 3)
 #: A target is at most so many times its source's size.
 MOST = 3
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 100_000
 CHUNK = 1 << 16
 BUCKET_DOCS = 1024
 SPAN = 1024
@@ -85,17 +89,39 @@ class Plan:
         return (self.words % np.maximum(self.sizes, 1)) % self.block
 
 
-def plan(docs: DataFrame, block: int = BLOCK) -> Plan:
-    """docs: source, size."""
+def plan(docs: DataFrame, block: int = BLOCK) -> Plan | None:
+    """docs: source, size. None if there are more than MAX_SOURCES sources."""
     rows = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+        return None
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = np.array([r["n"] or 0 for r in rows], np.int64)
     weights = [CYCLE[i % len(CYCLE)] for i in range(len(rows))]
     return Plan([r["source"] for r in rows], sizes, targets(sizes, weights), block)
 
 
+def mix_many(docs: DataFrame) -> DataFrame:
+    """What mix_documents says, with the sources as a table: a source's words are whole rounds of it and the first
+    words of one more round, whatever the order of slots among sources."""
+    sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")).withColumn("no", F.col("source").isNull())
+    weight = F.get(F.array(*[F.lit(float(w)) for w in CYCLE]), (F.col("s") % len(CYCLE)).cast("int"))
+    table = sorted_rank(sizes, ["no", "source"], "s").withColumn("s", F.col("s").cast("int")).withColumn("w", weight).withColumn("cap", F.col("source_size").cast("double") * MOST)
+    total, level, last = float(table.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:  # sources at their cap only become more, so this ends
+        over = F.col("w") * level > F.col("cap")
+        n, held, free = table.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        if n == last or not free:
+            break
+        level, last = (total - held) / free, n
+    table = settle(table.select("source", "s", "source_size", F.least(F.col("w") * level, "cap").alias("target")), "mix-sources")
+    placed = place(docs.join(table.select("source", "s").withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name"))
+    words = F.least(F.rint("target").cast("long"), F.col("source_size") * MOST)
+    both = placed.join(table.drop("source"), "s").withColumn("words", words).withColumn("round", F.greatest("source_size", F.lit(1)))
+    rest = F.col("words") % F.col("round") - F.col("start")
+    taken = F.expr("words div round") * F.col("size") + F.greatest(F.least(rest, "size"), F.lit(0))
+    return both.select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"))
+
+
 def chunk_sources(chunk: int, n_slots: int, edges: np.ndarray) -> np.ndarray:
     """Source of each slot of a chunk."""
     i = np.arange(chunk * CHUNK, min((chunk + 1) * CHUNK, n_slots)).astype(np.uint64)
@@ -164,11 +190,14 @@ def before(df: DataFrame, at: str, value: str) -> DataFrame:
 
 
 def layout(docs: DataFrame, p: Plan) -> DataFrame:
-    """docs (row, doc_id, source, size, key) with s and start, the document's place in its shuffled source."""
-    spark = docs.sparkSession
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(p.names)], "s int, name string")
-    n_buckets = max(1, docs.count() // BUCKET_DOCS)
-    d = docs.join(F.broadcast(names) if len(p.names) < 10_000 else names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    """docs (doc_id, source, size, key) with s and start, the document's place in its shuffled source."""
+    names = docs.sparkSession.createDataFrame([(i, n) for i, n in enumerate(p.names)], "s int, name string")
+    return place(docs.join(F.broadcast(names) if len(p.names) < 10_000 else names, F.col("source").eqNullSafe(F.col("name"))).drop("name"))
+
+
+def place(d: DataFrame) -> DataFrame:
+    """d (s, doc_id, size, key) with start, the words before the document in its source, shuffled by a hash."""
+    n_buckets = max(1, d.count() // BUCKET_DOCS)
     d = d.withColumn("mixed", F.xxhash64("key", F.lit(17))).withColumn("bucket", F.pmod("mixed", F.lit(n_buckets)))
     sums = before(d.groupBy("s", "bucket").agg(F.sum("size").alias("n")), "bucket", "n").select("s", "bucket", F.col("before").alias("base"))
     inner = W.partitionBy("s", "bucket").orderBy("mixed", "doc_id").rowsBetween(W.unboundedPreceding, 0)
@@ -183,6 +212,8 @@ def mix_documents(df: DataFrame, block: int = BLOCK, text: str = "text") -> Data
     tune(spark)
     docs = settle(df.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), text_key("doc_id", text).alias("key")), "mix-docs")
     p = plan(docs, block)
+    if p is None:
+        return mix_many(docs)
     placed = settle(layout(docs, p), "mix-layout")
     facts = spark.createDataFrame([(i, int(n), float(t)) for i, (n, t) in enumerate(zip(p.sizes, p.targets))], "s int, source_size long, target double")
     used = schedule(docs, p).groupBy("s", "block").agg(F.count_if(F.col("words").isNull()).alias("full"), F.coalesce(F.sum("words"), F.lit(0)).alias("short"))

@@ -376,3 +376,14 @@ def test_scores_match_the_dense_formulas():
     r = quality_classifier.PairwiseRanker(x.mean(0), x.std(0), rng.normal(size=4), 0.3, 1.7)
     raw = [sum(w * min(max((a - mu) / sd, -8), 8) for a, mu, sd, w in zip(row, r.mean, r.scale, r.weights)) for row in x]
     assert np.allclose(r.score(x, 0.7), [1 / (1 + np.exp(-((z - 0.3) * 1.7 + np.log(0.7 / 0.3)))) for z in raw])
+
+
+def test_many_sources_are_mixed_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, None if i % 11 == 0 else f"s{(i * i) % 17}é", " ".join(["w"] * rng.randrange(0, 90))) for i in range(300)] + [(1000, "z", "w " * 4000), (1001, "empty", None), (1001, "empty", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    usual = sorted(map(tuple, mixing.mix_documents(df).collect()), key=str)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    many = sorted(map(tuple, mixing.mix_documents(df).collect()), key=str)
+    assert [(*a[:5], a[6]) for a in many] == [(*a[:5], a[6]) for a in usual] and np.allclose([a[5] for a in many], [a[5] for a in usual])
+    assert sum(a[6] for a in many) > 0 and mixing.mix_documents(df.where("false")).count() == 0
