@@ -21,6 +21,8 @@ from pagequarry.llm.textkernel import mix64
 BATCH_ROWS = 256
 #: Bytes of text that one call of a kernel sees (one longer text is a call of its own).
 SLICE_BYTES = 1 << 19
+#: Compressed bytes of a table that may be broadcast.
+LIGHT_BYTES = 1 << 21
 BLOOM_BITS = 1 << 26
 BLOOM_PAGE = 1 << 12
 
@@ -54,13 +56,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _place(t: DataFrame):
+    """(file system, path) of a settled table."""
+    jvm = t.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(t.settled_at)
+    return path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def light(t: DataFrame) -> DataFrame:
+    """A settled table, to be broadcast if its files are small enough that it takes a few MB at most."""
+    files, path = _place(t)
+    return F.broadcast(t) if files.getContentSummary(path).getLength() <= LIGHT_BYTES else t
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables. Only for those from which no unsettled table is still to be made: a lost executor's
     work is done again from what is settled."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.settled_at)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _place(t)
+        files.delete(path, True)
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

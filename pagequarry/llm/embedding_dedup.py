@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import settle, tune
+from pagequarry.llm.common import discard, settle, tune
 from pagequarry.llm.components import connected_components, labels_of, sorted_groups
 
 BLOCK = 1024
@@ -121,6 +121,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, column: str = "embedd
     facts = facts.select("cls", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root"))
     least = facts.groupBy("root").agg(F.min("least").alias("component"))
     facts = settle(facts.join(least, "root").select("cls", "n_links", "component"), "vec-facts")
+    discard(classes, hashed, found)
     out = keyed.select("vec_id", F.when(F.col("ok"), F.col("cls")).alias("cls")).join(facts, "cls", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -31,18 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm import textkernel as K
-from pagequarry.llm.common import bloom, bloom_hit, map_text, settle, spare, text_key, tune, without
+from pagequarry.llm.common import bloom, bloom_hit, discard, light, map_text, settle, spare, text_key, tune, without
 from pagequarry.llm.components import sorted_groups
 from pagequarry.llm.textkernel import mix64
 
 MIN_WORDS = 20
 
 
-def ranked(pairs: DataFrame) -> DataFrame:
+def ranked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pairs (a, b, n: how many suffixes have it; settled) with rank, the number of suffixes whose pair sorts before.
 
     A range sort deals the distinct pairs evenly, however often one occurs; sums of whole partitions (a row each)
-    shift the sums within them."""
+    shift the sums within them. Also the table that holds the sorted pairs."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -57,7 +57,7 @@ def ranked(pairs: DataFrame) -> DataFrame:
     sizes = sorted((r["part"], r["n"]) for r in t.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
     starts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
     shift = pairs.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, shift long")
-    return t.join(F.broadcast(shift), "part").select("a", "b", (F.col("at") + F.col("shift")).alias("rank"))
+    return t.join(F.broadcast(shift), "part").select("a", "b", (F.col("at") + F.col("shift")).alias("rank")), t
 
 
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
@@ -110,18 +110,24 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
         pairs = settle(t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"lines-pairs-{name}")
         both = F.xxhash64("a", "b")
         may = t.withColumn("both", both).where(bloom_hit(spark, "both", bloom(pairs.select(both.alias("both")))))
-        return may.join(ranked(pairs), ["a", "b"]).select("doc_id", "key", "pos", "m", "rank")
+        ranks, held = ranked(pairs)
+        spent.extend((pairs, held))
+        return may.join(ranks, ["a", "b"]).select("doc_id", "key", "pos", "m", "rank")
 
     every = settle(map_text(docs, ids, "doc_id long, key long, pos int, m int, a long, b long"), "lines")
     deepest = every.agg(F.max("m").alias("m")).first()["m"] or 0
+    spent, read = [every], []
     t, length, runs = next_ranks(every, "0"), 1, []
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "pos")
     while True:
         t = settle(sorted_groups(t, ["key"], ahead(length), "doc_id long, key long, pos int, m int, a long, b long, e long", together=True), f"lines-{length}")
+        discard(*spent)
+        spent.clear()
         # suffixes of equal ranks here and m - length lines on have m lines in common: an interval of the array
         exact = t.where("e >= 0").select("doc_id", "key", "pos", "m", "a", "e")
         heads = settle(exact.groupBy("a", "e", "m").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-heads")
         later = exact.join(heads, ["a", "e", "m"]).where(~((F.col("key") == F.col("head.key")) & (F.col("pos") == F.col("head.pos")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))))
+        read += [t, heads]
         runs.append(later.select("key", F.col("pos").alias("first"), "m"))
         if deepest < 2 * length:
             break
@@ -146,7 +152,9 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(joined, batch.schema.field("runs").type)], ["key", "runs"])
 
     of_text = out.groupBy("key").agg(F.collect_set(F.struct("first", "m")).alias("runs"))
-    return of_text.mapInArrow(maximal, "key long, runs array<struct<first:int,m:int>>")
+    found = settle(of_text.mapInArrow(maximal, "key long, runs array<struct<first:int,m:int>>"), "lines-runs")
+    discard(*spent, *read)
+    return found
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
@@ -156,12 +164,12 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -
     names = df.columns
     own = [f"`{c}`" for c in names]
     key, runs_of = spare(df, "__key", "__runs")
-    runs = settle(repeated_lines(df, min_words, text), "lines-runs")
+    runs = repeated_lines(df, min_words, text)
     keyed = df.withColumn(key, text_key("doc_id", text))
     hit = bloom_hit(df.sparkSession, key, bloom(runs.select("key")))
     count = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
     alone = keyed.where(~hit).select(*own, count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
-    touched = keyed.where(hit).join(runs.select(F.col("key").alias(key), F.col("runs").alias(runs_of)), key, "left").select(*own, runs_of)
+    touched = keyed.where(hit).join(light(runs).select(F.col("key").alias(key), F.col("runs").alias(runs_of)), key, "left").select(*own, runs_of)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, gone = [], [], []

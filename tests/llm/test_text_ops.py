@@ -387,3 +387,13 @@ def test_many_sources_are_mixed_alike(spark, monkeypatch):
     many = sorted(map(tuple, mixing.mix_documents(df).collect()), key=str)
     assert [(*a[:5], a[6]) for a in many] == [(*a[:5], a[6]) for a in usual] and np.allclose([a[5] for a in many], [a[5] for a in usual])
     assert sum(a[6] for a in many) > 0 and mixing.mix_documents(df.where("false")).count() == 0
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    """What a text of 4 MB says at its end counts as at its start."""
+    rng = random.Random(3)
+    plain = " ".join(f"w{rng.randrange(300)}" for _ in range(800_000))
+    m = toxicity.FactorizationMachine(np.sort(toxicity.term_slots(*toxicity.K.joined(toxicity.pa.array(["grob"])))[1]), -3.0, np.array([6.0]), np.zeros((1, toxicity.RANK)))
+    docs = spark.createDataFrame([(1, plain), (2, plain + " Grob!"), (3, "grob " + plain), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: round(r.score, 4) for r in toxicity.score_documents(docs, m).collect()}
+    assert got == {1: 0.0474, 2: 0.9526, 3: 0.9526, 4: 0.0474}
