@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.functions.quality import jitter_bound
 from pagequarry.functions.urls import match_host_pattern, part, trim_ws
 
 
@@ -68,7 +69,12 @@ def sitemap_directives(docs: DataFrame) -> DataFrame:
     return docs.select("host", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))).alias("pos", "url"))
 
 
-def pacing(queue: DataFrame, rate: Column, burst: int = 1) -> DataFrame:
-    """queue (host, seq) with start_s, the earliest start in seconds of a token bucket for each host."""
+def pacing(queue: DataFrame, rate: Column, burst: int = 1, jitter: float = 0.0) -> DataFrame:
+    """queue (host, seq) with start_s, the earliest start in seconds of a token bucket for each host. A jitter of j
+    puts up to j intervals on top of a start, by a hash of host and seq; the bucket itself keeps its pace."""
     n = F.row_number().over(W.partitionBy("host").orderBy("seq"))
-    return queue.withColumn("start_s", F.when(rate > 0, F.greatest(n - F.lit(burst), F.lit(0)) / rate).otherwise(F.lit(0.0)))
+    start = F.when(rate > 0, F.greatest(n - F.lit(burst), F.lit(0)) / rate).otherwise(F.lit(0.0))
+    if jitter:
+        part = F.pmod(F.xxhash64("host", "seq"), F.lit(1 << 20)) / float(1 << 20)
+        start = start + jitter_bound(rate, F.lit(jitter)) * part
+    return queue.withColumn("start_s", start)

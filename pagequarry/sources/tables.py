@@ -25,6 +25,16 @@ def read_fetches(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumn("body", F.when(F.octet_length("body") > BODY_BYTES, F.decode(F.substring(F.encode("body", "UTF-8"), 1, BODY_BYTES), "UTF-8")).otherwise(F.col("body")))
 
 
+def read_tier_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Observed tiers; route.latest_tier gives each host's."""
+    return spark.read.schema(schemas.TIER_CACHE).parquet(path)
+
+
+def read_content_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Stored answers, for route.with_cache."""
+    return spark.read.schema(schemas.CONTENT_CACHE).parquet(path)
+
+
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
     """url (the path), body of sitemap files, gunzipped by magic number."""
 

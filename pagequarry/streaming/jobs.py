@@ -59,9 +59,30 @@ def learn_tiers(log: DataFrame) -> DataFrame:
     return log.where("category = 'success'").groupBy("host").agg(F.max_by("tier", F.struct("ts", "event_id")).alias("tier"), F.max("ts").alias("updated_at"))
 
 
-def cache_entries(fetches: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """Latest answer of each (url, tier) in windows of ttl; the watermark lets old ones go."""
-    return fetches.withWatermark("ts", ttl).groupBy(F.window("ts", ttl), "url", "tier").agg(F.max_by("body", "ts").alias("body"), F.max("ts").alias("stored_at"))
+CACHE_OUT = "url string, tier string, body string, stored_ms bigint, live boolean"
+
+
+def cache_entries(fetches: DataFrame, ttl_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """The latest answer of each (url, tier) (ts, url, tier, body) as it comes, live for ttl_ms from its own time on;
+    once the watermark is past that, the entry leaves the state with a last row that says so. Update mode."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        body, at = state.get if state.exists else (None, -1)
+        live = not state.hasTimedOut
+        for rows in batches if live else ():
+            i = int(rows["ms"].to_numpy().argmax())
+            if rows["ms"].iloc[i] >= at:
+                body, at = rows["body"].iloc[i], int(rows["ms"].iloc[i])
+        live = live and at + ttl_ms > state.getCurrentWatermarkMs()
+        if live:
+            state.update((body, at))
+            state.setTimeoutTimestamp(at + ttl_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, body, at, live)], columns=["url", "tier", "body", "stored_ms", "live"])
+
+    rows = fetches.withWatermark("ts", late).select("ts", "url", "tier", "body", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("url", "tier").applyInPandasWithState(step, CACHE_OUT, "body string, ms bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_stats(log: DataFrame) -> DataFrame:

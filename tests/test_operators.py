@@ -268,6 +268,27 @@ def stream_of(spark, df, path):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def test_cache_entries_live_for_their_time(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    schema = "ts timestamp, url string, tier string, body string"
+    files = [[(0, "a", "one"), (1, "b", "two"), (30, "a", "newer"), (20, "a", "older")], [(70, "c", "x")], [(120, "d", "y")], [(121, "d", "z")]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(t0 + timedelta(minutes=m), u, "http", body) for m, u, body in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/k={k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    out = jobs.run_to_end(jobs.cache_entries(stream, ttl_ms=3_600_000, late="0 seconds"), "update", f"{tmp_path}/out").collect()
+    minute = lambda r: (r.stored_ms // 60_000) % 1440
+    assert [(r.body, minute(r)) for r in out if r.url == "a" and r.live] == [("newer", 30)]
+    assert {(r.url, r.body) for r in out if not r.live} == {("b", "two"), ("a", "newer")}
+
+
+def test_jitter_only_adds(spark):
+    q = spark.createDataFrame([(f"h{i % 3}", i) for i in range(60)], "host string, seq long")
+    a, b = ({(r.host, r.seq): r.start_s for r in politeness.pacing(q, F.lit(2.0), 1, j).collect()} for j in (0.0, 0.5))
+    assert all(0 <= b[k] - a[k] <= 0.25 for k in a) and sum(b[k] > a[k] for k in a) > 40
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from datetime import datetime, timedelta
 
