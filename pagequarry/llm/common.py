@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.textkernel import mix64
+from pagequarry.llm.textkernel import forget_powers, mix64
 
 #: Rows of one Arrow batch; with long texts this bounds what a Python worker holds.
 BATCH_ROWS = 256
@@ -82,6 +82,7 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 def release_memory() -> None:
     """Give what a task has freed back to the system, as its Python worker stays for the next one."""
+    forget_powers()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)

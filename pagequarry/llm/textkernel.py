@@ -70,6 +70,11 @@ class _Powers:
         return a[:n]
 
 
+def forget_powers() -> None:
+    """Give up the tables of powers, which are as long as the longest text so far."""
+    _Powers.held.clear()
+
+
 class Rolling:
     """Hash of any range of a sequence in constant time.
 
