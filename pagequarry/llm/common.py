@@ -20,7 +20,7 @@ from pagequarry.llm.textkernel import forget_powers, mix64
 #: Rows of one Arrow batch; with long texts this bounds what a Python worker holds.
 BATCH_ROWS = 256
 #: Bytes of text that one call of a kernel sees (one longer text is a call of its own).
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Compressed bytes of a table that may be broadcast.
 LIGHT_BYTES = 1 << 21
 BLOOM_BITS = 1 << 26
