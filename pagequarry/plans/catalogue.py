@@ -386,9 +386,11 @@ def fetch_events_hourly(spark, d):
 
 
 def _stream(spark, d, table, sql):
-    """sql over one table read as a stream."""
+    """sql over one table, a file or a folder of files, read as a stream.
+
+    The path is a pattern that only the table matches: a stream takes a lone file by no other."""
     batch = spark.read.parquet(f"{d}/{table}.parquet")
-    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    rows = spark.readStream.schema(batch.schema).parquet(f"{d}/{{{table}}}.parquet")
     return spark.sql(sql, **{table: rows})
 
 
